@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_path, texts
+from .shared import if_few, materialize, shared_path, texts
 
 #: Parquet's settings of a run.
 RUN = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": str(1 << 20), "compression": "zstd"}
@@ -75,6 +75,7 @@ def groups(docs: DataFrame, keep: str = "max", digest=sha256) -> DataFrame:
 def deduplicate(docs: DataFrame, keep: str = "max") -> DataFrame:
     """The rows of docs that stay, with their columns."""
     # A row that repeats its doc_id with another text is told apart by the text's digest.
-    stays = groups(docs, keep).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("digest").alias("stay_digest")).distinct()
+    gone = groups(docs, keep).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    gone = if_few(materialize(gone, "gone"))
     own = sha256(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (own == F.col("stay_digest")), "left_semi")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (own == F.col("gone_digest")), "left_anti")

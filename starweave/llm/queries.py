@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, exact_dedup, packing, pii, repeats, sentence_pieces, token_counts, token_output, toxicity
+from . import cover_tree, exact_dedup, packing, parity_join, pii, repeats, sentence_pieces, token_counts, token_output, toxicity
 from .words import vocabulary_path
 
 
@@ -28,6 +28,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_docs(spark, sf_dir), length=400).drop("spans")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.components(_docs(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_docs(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_sentence_pieces, op4_repeats, op6_pii, op7_packing, op8_token_output, op9_toxicity, op10_cover_tree)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_sentence_pieces, op4_repeats, op5_jaccard_join, op6_pii, op7_packing, op8_token_output, op9_toxicity, op10_cover_tree)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

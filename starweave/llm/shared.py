@@ -57,6 +57,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a narrow table (some hundred bytes a row at most) is broadcast.
+FEW = 200_000
+
+
+def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df to be broadcast if it has few rows, which is counted; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

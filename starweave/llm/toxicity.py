@@ -247,14 +247,28 @@ def evidence(docs: DataFrame, known) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, strongest double, beyond double")
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted."""
-    known, weights = fit(docs, labels)
-    rows = evidence(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), known)
+def scored(rows: DataFrame, known, weights: list[float] | None) -> DataFrame:
+    """rows' columns but text, and the score."""
+    rows = evidence(rows, known)
     if weights is None:
         value = F.lit(0.0)
     else:
         x = F.col("strongest") * weights[0] + F.col("beyond") * weights[1] + weights[2]
         value = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x))))
-    rows = rows.select("doc_id", (held_out(F.col("doc_id")) == 2).alias("held_out"), value.alias("score"))
+    return rows.withColumn("score", value).drop("strongest", "beyond")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    kept = {c: f"kept_{k}" for k, c in enumerate(docs.columns)}  # names of docs may clash with those used here
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in kept.items()))
+    rows = scored(rows, *fit(docs, labels)).where(F.col("score") < threshold)
+    return rows.select(*(F.col(n).alias(c) for c, n in kept.items()))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, held_out, score, predicted."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = scored(rows, *fit(docs, labels))
+    rows = rows.select("doc_id", (held_out(F.col("doc_id")) == 2).alias("held_out"), "score")
     return rows.withColumn("predicted", F.expr(f"cast(score >= {threshold}D as int)"))
