@@ -42,12 +42,13 @@ SKY = "sky AS (SELECT c_custkey AS targetid, (c_custkey::DOUBLE * 137.508::DOUBL
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
-    """Random points from orders, in 18 files; the place and tracer are the customer's."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), F.col("o_custkey").alias("targetid"), (F.col("o_orderkey") % 18).cast("int").alias("file_idx"))
-    return o.join(sky(spark, d), "targetid").withColumn("targetid", F.col("rid")).drop("rid")
+    """Random points from orders, in 18 files; tracer and zone are the customer's."""
+    k = F.col("o_orderkey").cast("double")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("targetid"), (F.col("o_orderkey") % 18).cast("int").alias("file_idx"), (k * 97.31 % 360.0).alias("ra"), (k * 43.7 % 120.0 - 60.0).alias("dec"), (F.col("o_totalprice") % 11000.0 / 11000.0 * 2.0).alias("z"), "o_custkey")
+    return o.join(sky(spark, d).select(F.col("targetid").alias("o_custkey"), "tracer", "zone"), "o_custkey").drop("o_custkey")
 
 
-POOL = f"{SKY}, pool AS (SELECT o_orderkey AS targetid, (o_orderkey % 18)::INT AS file_idx, ra, dec, z, tracer, zone FROM orders JOIN sky ON o_custkey = sky.targetid)"
+POOL = f"{SKY}, pool AS (SELECT o_orderkey AS targetid, (o_orderkey % 18)::INT AS file_idx, (o_orderkey::DOUBLE * 97.31::DOUBLE) % 360.0::DOUBLE AS ra, (o_orderkey::DOUBLE * 43.7::DOUBLE) % 120.0::DOUBLE - 60.0::DOUBLE AS dec, o_totalprice % 11000.0::DOUBLE / 11000.0::DOUBLE * 2.0::DOUBLE AS z, tracer, zone FROM orders JOIN sky ON o_custkey = sky.targetid)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
