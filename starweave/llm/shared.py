@@ -1,61 +1,16 @@
-"""Plumbing shared by the text operators: shared storage, lineage cuts, batches, connected components."""
+"""Plumbing shared by the text operators: texts, batches, broadcasts of a checked size."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from ..session import ship
+from ..storage import drop_path, materialize, shared_dir, shared_path
 
-#: Used only where the session names no shared folder (tests and local runs).
-LOCAL_DIR = "/tmp/checkpoints/starweave"
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where the session sets none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    spark.sparkContext.setCheckpointDir(LOCAL_DIR)
-    return LOCAL_DIR
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_sweep)
-    _written.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+__all__ = ["connected", "drop_path", "if_few", "joined", "materialize", "parts", "shared_dir", "shared_path", "slices", "texts"]
 
 #: Rows up to which a narrow table (some hundred bytes a row at most) is broadcast.
 FEW = 200_000
@@ -93,40 +48,3 @@ def slices(batches, column: str = "text", limit: int = 8 << 20):
 
 def joined(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reachable.
-
-    Large-star and small-star rounds in turn, each cut by checkpoint(), until no edge changes. A star
-    points every neighbour at the smallest one, so rows never outnumber edges and nodes, and the
-    minimum per node is a combinable aggregate: a hub is no hot task.
-    """
-    spark = edges.sparkSession
-    shared_dir(spark)
-
-    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
-        df = df.checkpoint()
-        return df, tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now, mark = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = large.join(low, "a")
-        small = kept.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        now, new = settled(small)
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-
-
-def hex_digest(col: Column) -> Column:
-    return F.sha2(col, 256)
