@@ -162,8 +162,8 @@ def keys_of(sets: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One-bit parity sketch, of two to four bits for each shingle (a power of two)."""
-    bits = 1 << max(6, int(2 * max(1, len(hashes)) - 1).bit_length())
+    """One-bit parity sketch, of one to two bits for each shingle (a power of two): sets that share little differ in twice as many bits as similar ones may."""
+    bits = 1 << max(6, int(len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -192,6 +192,14 @@ def allowed(n: np.ndarray, sketches: list[bytes], i: int, js: np.ndarray, least:
     return np.concatenate(keep) if keep else js[:0]
 
 
+def may_link(na: int, a: bytes, nb: int, b: bytes, least: Fraction) -> bool:
+    """Whether sizes and the Hamming distance of sketches leave a link possible."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    both = min(len(x), len(y))
+    far = int(np.bitwise_count(folded(x, both) ^ folded(y, both)).sum())
+    return far * (least.denominator + least.numerator) <= (na + nb) * (least.denominator - least.numerator)
+
+
 def _split(batches):
     """Slices of at most 4096 rows, their texts as bytes."""
     for b in slices(batches):
@@ -205,23 +213,28 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     spark = docs.sparkSession
     rows = texts(docs)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    buckets = 2 * parts(spark, 8)
+    buckets = parts(spark, 8)
 
     def describe(batches):
-        """A row for each document (bucket -1), and the packed keys of its batch for each bucket."""
-        bands = Bands(least)
+        """doc_id, node, n, sketch of each document."""
         schema = None
         for b, raw in _split(batches):
             sets, off = shingle_sets(raw)
-            size = np.diff(off)
-            node = np.array([int.from_bytes(hashlib.blake2b(sets[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], dtype=np.int64)
-            schema = schema or pa.schema([("bucket", pa.int32()), ("doc_id", b.column(0).type), ("node", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
-            marks = [sketch(sets[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), -1, dtype=np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array(marks, type=pa.binary())], schema=schema)
+            schema = schema or pa.schema([("doc_id", b.column(0).type), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node_ids(sets, off)), pa.array(np.diff(off)), pa.array([sketch(sets[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], type=pa.binary())], schema=schema)
+
+    def spread(batches):
+        """The keys of a batch, packed for each bucket: nodes, how many keys each has there, and the keys.
+
+        40 bits of a key travel; with the bucket they tell keys apart well enough for candidates.
+        """
+        bands = Bands(least)
+        for _, raw in _split(batches):
+            sets, off = shingle_sets(raw)
             key, of = keys_of(sets, off, bands)
             if not len(key):
                 continue
-            # 40 bits of a key travel, with the bucket they hold enough to tell keys apart; nodes are listed once for each run of theirs.
+            node = node_ids(sets, off)
             bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             order = np.lexsort((of, bucket))
             key, of, bucket = key[order], of[order], bucket[order]
@@ -231,11 +244,10 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
                 own = of[x:y]
                 begin = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
                 out.append(np.array([len(begin)], dtype="<u4").tobytes() + node[own[begin]].astype("<i8").tobytes() + np.diff(np.append(begin, y - x)).astype("<u4").tobytes() + np.ascontiguousarray(key[x:y].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            m = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.nulls(m, b.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(out, type=pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(out, type=pa.binary())], names=["bucket", "data"])
 
-    told = materialize(rows.mapInArrow(describe, f"bucket int, doc_id {ids}, node long, n long, data binary"), "told")
-    listed = told.where("bucket = -1").select("doc_id", "node", "n", F.col("data").alias("sketch"))
+    # Shingles are hashed once more for the keys: cheaper than writing these down.
+    listed = materialize(rows.mapInArrow(describe, f"doc_id {ids}, node long, n long, sketch binary"), "listed")
 
     def meet(table: pa.Table) -> pa.Table:
         """Groups of different nodes that share a key: nodes in order, each group once."""
@@ -262,17 +274,18 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
         seen = {node[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if y - x > 1}
         return pa.table({"nodes": pa.array([np.frombuffer(s, dtype=np.int64) for s in sorted(seen)], type=pa.list_(pa.int64()))})
 
-    groups = told.where("bucket >= 0").select("bucket", "data").groupBy("bucket").applyInArrow(lambda t: meet(t), "nodes array<long>")
+    groups = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "nodes array<long>")
     groups = materialize(groups, "groups")
     star = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes) - 1)")).alias("b")).distinct()
-    linked = materialize(verify(docs, listed, materialize(star, "star"), least), "linked")
+    star = materialize(star, "star")
+    marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
+    linked = materialize(verify(docs, listed, materialize(thinned(star, marks, least), "thinned"), least), "linked")
     part = connected(linked)
 
     # Groups that still hold several components: pairs across, thinned by sketches.
     wide = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id())
     wide = materialize(wide.select("g", F.explode("nodes").alias("node")), "wide").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = wide.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
-    marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
     rest = wide.join(mixed, "g", "left_semi").join(marks, "node")
 
     def across(table: pa.Table) -> pa.Table:
@@ -297,6 +310,26 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("of_node")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def node_ids(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set."""
+    raw = sets.tobytes()
+    return np.array([int.from_bytes(hashlib.blake2b(raw[8 * x : 8 * y], digest_size=8).digest(), "little", signed=True) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], dtype=np.int64)
+
+
+def thinned(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    one, two = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+    sizes = pairs.join(one.drop("s_a"), "a").join(two.drop("s_b"), "b").where(F.least("n_a", "n_b") * least.denominator >= F.greatest("n_a", "n_b") * least.numerator)
+    both = sizes.select("a", "b").join(one, "a").join(two, "b")
+
+    def keep(batches):
+        for b in batches:
+            ok = [may_link(*x, least) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, type=pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(keep, "a long, b long")
+
+
 def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, by their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -305,11 +338,10 @@ def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction
     def sets(batches):
         for b, raw in _split(batches):
             got, off = shingle_sets(raw)
-            node = [int.from_bytes(hashlib.blake2b(got[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array([got[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], type=pa.binary())], names=["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(node_ids(got, off)), pa.array([got[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], type=pa.binary())], names=["node", "hashes"])
 
-    whole = texts(docs).join(source, "doc_id").mapInArrow(sets, "node long, hashes binary")
-    whole = materialize(whole, "sets").dropDuplicates(["node"])
+    # Rows that repeat a doc_id may give a set twice, and a pair then too.
+    whole = materialize(texts(docs).join(if_few(materialize(source, "sources")), "doc_id").mapInArrow(sets, "node long, hashes binary"), "sets")
 
     def check(batches):
         for b in batches:
@@ -322,7 +354,7 @@ def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, type=pa.int64())), b.column(1).take(pa.array(keep, type=pa.int64()))], names=["a", "b"])
 
     sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return sided.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return sided.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
