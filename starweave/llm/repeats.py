@@ -90,7 +90,7 @@ def cut(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, h, start, len, at, mh, sh for every segment."""
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, limit=2 << 20):  # some hundred bytes of working memory for each byte
             col = b.column(1)
             off = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
             data = np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
