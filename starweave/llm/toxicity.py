@@ -36,7 +36,7 @@ ORDER = 8
 BITS = 7
 DISCOUNT = 0.75
 #: A prime, so that byte strings spread over the cells.
-CELLS = 4_194_301
+CELLS = 2_097_143
 #: Labelled rows up to which they are broadcast (16 bytes each).
 FEW = 2_000_000
 #: Evidence of a word (natural logarithm) that chance alone often reaches.
@@ -44,7 +44,7 @@ ENOUGH = 2.0
 #: Bins of either logarithm of evidence, from 0 to REACH.
 BINS = 200
 REACH = 5.0
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 THRESHOLD = 0.3
 #: All but letters of ASCII is white space; code points above count as letters.
 LETTERS = {c: " " for c in range(128) if not 97 <= c <= 122}
@@ -221,6 +221,7 @@ def evidence(docs: DataFrame, known) -> DataFrame:
         if name not in _models:
             _models.clear()
             _models[name] = (Model(known[1].value), {})
+            known[1].__dict__.pop("_value", None)  # the tables are unfolded; the worker needs no second copy
         model, memory = _models[name]
         for b in slices(batches, "text"):
             cols = {n: b.column(k) for k, n in enumerate(b.schema.names)}
