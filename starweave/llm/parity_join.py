@@ -9,8 +9,8 @@ must be equal (pigeonhole). Equal blocks make candidates. A set small enough tha
 shingles sends its first ones in hash order instead, as many as differ at most and one; so does a set with
 more empty blocks than spared. Candidates are verified on whole sets.
 
-Equal sets are one node from the start, and copies never multiply. Within a group that shares a block only
-links to its first node are tried at first; after components are known, only pairs of different components
+Equal sets are one node from the start, and copies never multiply. Of a group that shares a block only
+links to a node that often comes first are tried at first; after components are known, only pairs of different components
 are, and of these only such whose one-bit parity sketches (Hamming distance) and sizes allow a link. So no
 link between different sets is lost, and no group is expanded into its pairs. Blocks travel packed, by
 ranges of their hash, so every task holds an even share whatever the groups' sizes.
@@ -162,8 +162,8 @@ def keys_of(sets: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One-bit parity sketch, of one to two bits for each shingle (a power of two): sets that share little differ in twice as many bits as similar ones may."""
-    bits = 1 << max(6, int(len(hashes) - 1).bit_length())
+    """One-bit parity sketch, of two to four bits for each shingle (a power of two), so that few differences cancel."""
+    bits = 1 << max(6, int(2 * max(1, len(hashes)) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -250,7 +250,7 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     listed = materialize(rows.mapInArrow(describe, f"doc_id {ids}, node long, n long, sketch binary"), "listed")
 
     def meet(table: pa.Table) -> pa.Table:
-        """Groups of different nodes that share a key: nodes in order, each group once."""
+        """Groups of different nodes that share a key (nodes in order, each group once), and each node's most frequent first node in larger groups."""
         nodes, keys = [], []
         for data in table.column("data").to_pylist():
             m = int(np.frombuffer(data, "<u4", 1)[0])
@@ -272,11 +272,22 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
         node, key = node[one], key[one]
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, dtype=np.int64)
         seen = {node[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if y - x > 1}
-        return pa.table({"nodes": pa.array([np.frombuffer(s, dtype=np.int64) for s in sorted(seen)], type=pa.list_(pa.int64()))})
-
-    groups = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "nodes array<long>")
-    groups = materialize(groups, "groups")
-    star = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes) - 1)")).alias("b")).distinct()
+        lead = np.repeat(node[edge[:-1]], np.diff(edge)) if len(node) else node
+        ok = (lead != node) & (np.repeat(np.diff(edge), np.diff(edge)) > 2) if len(node) else node.astype(bool)
+        pair, n = np.unique(np.stack([node[ok], lead[ok]], 1), axis=0, return_counts=True)
+        order = np.lexsort((-n, pair[:, 0]))
+        pair, n = pair[order], n[order]
+        top = np.concatenate(([True], pair[1:, 0] != pair[:-1, 0])) if len(pair) else np.zeros(0, dtype=bool)
+        sets_ = [np.frombuffer(s, dtype=np.int64) for s in sorted(seen)]
+        k = int(top.sum())
+        return pa.table({"nodes": pa.array([*sets_, *[None] * k], type=pa.list_(pa.int64())), "a": pa.array([*[None] * len(sets_), *pair[top, 1].tolist()], type=pa.int64()), "b": pa.array([*[None] * len(sets_), *pair[top, 0].tolist()], type=pa.int64()), "c": pa.array([*[None] * len(sets_), *n[top].tolist()], type=pa.int64())})
+
+    groups = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "nodes array<long>, a long, b long, c long")
+    met = materialize(groups, "groups")
+    groups = met.where("nodes IS NOT NULL").select("nodes")
+    # Tried at first: pairs that are a whole group, and of larger groups one first node for each node.
+    first = met.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("c").alias("c")).groupBy("b").agg(F.max(F.struct("c", "a")).getField("a").alias("a"))
+    star = groups.where("size(nodes) = 2").select(F.col("nodes")[0].alias("a"), F.col("nodes")[1].alias("b")).union(first.select("a", "b")).distinct()
     star = materialize(star, "star")
     marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
     linked = materialize(verify(docs, listed, materialize(thinned(star, marks, least), "thinned"), least), "linked")
