@@ -38,22 +38,31 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Matches located in one go; their arrays grow by copying, so long lists are built of short ones.
+RUN = 256
+
+
 def located(pattern: str, gate: str) -> Column:
     """Matches as an array of (s, e, t, l, r): offsets, text, last word before and first word after."""
     p = quoted(pattern)
     cut, last, first = f"split(text, {p}, -1)", quoted(r"(\S+)\s*$"), quoted(r"^\s*(\S+)")
+    item = "struct<s: int, e: int, t: string, l: string, r: string>"
+    one = f"""struct(
+        a.p + length(x.b) as s, a.p + length(x.b) + length(x.m) as e, x.m as t,
+        lower(regexp_extract(right(x.b, {REACH}), {last}, 1)) as l, lower(regexp_extract(left(x.n, {REACH}), {first}, 1)) as r)"""
     return F.expr(f"""
       case when {gate} then
         aggregate(
-          zip_with(regexp_extract_all(text, {p}, 0), {cut}, (m, b) -> struct(m, b)),
-          cast(struct(0 as p, array() as o) as struct<p: int, o: array<struct<s: int, e: int, t: string, l: string>>>),
-          (a, x) -> case when x.m is null then a else struct(
-            a.p + length(x.b) + length(x.m) as p,
-            concat(a.o, array(struct(
-              a.p + length(x.b) as s, a.p + length(x.b) + length(x.m) as e, x.m as t,
-              lower(regexp_extract(right(x.b, {REACH}), {last}, 1)) as l))) as o) end,
-          a -> transform(a.o, (v, i) -> struct(v.s, v.e, v.t, v.l, lower(regexp_extract(left({cut}[i + 1], {REACH}), {first}, 1)) as r)))
-      else cast(array() as array<struct<s: int, e: int, t: string, l: string, r: string>>) end""")
+          transform(
+            array(zip_with(zip_with(regexp_extract_all(text, {p}, 0), {cut}, (m, b) -> struct(m, b)), slice({cut}, 2, size({cut})), (y, n) -> struct(y.m as m, y.b as b, n as n))),
+            z -> transform(sequence(0, (size(z) - 1) div {RUN}), k -> slice(z, cast(k * {RUN} + 1 as int), {RUN})))[0],
+          cast(struct(0 as p, array() as o) as struct<p: int, o: array<array<{item}>>>),
+          (c, run) -> transform(
+            array(aggregate(run, cast(struct(c.p as p, array() as o) as struct<p: int, o: array<{item}>>),
+              (a, x) -> case when x.m is null then a else struct(a.p + length(x.b) + length(x.m) as p, concat(a.o, array({one})) as o) end)),
+            i -> struct(i.p as p, concat(c.o, array(i.o)) as o))[0],
+          c -> flatten(c.o))
+      else cast(array() as array<{item}>) end""")
 
 
 #: Which matches count.
