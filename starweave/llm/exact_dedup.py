@@ -60,7 +60,8 @@ def groups(docs: DataFrame, keep: str = "max", digest=sha256) -> DataFrame:
     merged = index.compact().select("digest", F.col("largest" if keep == "max" else "smallest").alias("keep_id"), F.col("n").alias("group_size"))
     rows = texts(docs).select(digest(F.col("text")).alias("digest"), "doc_id", "text")
     hits = materialize(rows.join(merged.where("group_size > 1"), "digest"), "hits")
-    stay = hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays"))
+    # Written first, so that the join stands alone over its exchanges and a hot digest's rows can be split.
+    stay = materialize(hits.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays")), "stay")
     torn = materialize(hits.join(stay, "digest").where("text <> stays").select("digest").distinct(), "torn")
     found = index.runs().join(merged, "digest")
     if not torn.isEmpty():  # one digest, several texts
