@@ -175,11 +175,13 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     cut(docs, length).write.parquet(held)
     every = spark.read.parquet(held)
     twice = every.groupBy("mh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mh")
-    live = materialize(every.join(twice, "mh", "left_semi"), "live")
+    # Written first, so that the join below stands alone over its exchanges and a hot minimizer's rows can be split.
+    live = materialize(every.join(materialize(twice, "twice"), "mh", "left_semi"), "live")
     drop_path(spark, held)
     kinds = live.groupBy("mh", "sh").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "h", "start", "len", "at")).alias("one"))
     kinds = materialize(kinds, "kinds")
     spread = kinds.groupBy("mh").agg(F.count(F.lit(1)).alias("different"), F.sum(F.col("one.len").cast("long")).alias("bytes"))
+    spread = materialize(spread, "bytes")
     kinds = materialize(kinds.join(spread, "mh"), "spread")
     whole = kinds.where("n > 1").select("mh", "sh", F.expr(f"cast(array(struct(0 as s, one.len as e)) as {RANGES})").alias("ranges"))
     # Texts with live segments, and which segments are to be read out of each.
