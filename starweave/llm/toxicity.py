@@ -4,7 +4,7 @@ Two models, of toxic and of ordinary text, predict each letter of a word from up
 (the space before the word included). Both discount their own counts and back off to the same shared
 continuation counts, so a rare expression is judged by the parts it shares with others. A word's evidence
 is the difference of its two log-likelihoods. A document is judged by its strongest word and by the
-evidence beyond ENOUGH of its distinct words, normalised by the root of their number; a logistic curve over
+evidence beyond ENOUGH of its distinct words, normalised by the root of its number of distinct chunks between spaces; a logistic curve over
 both, fitted on labelled rows that the counts have not seen, turns them into a score.
 
 Counts come from all labelled rows whose crc32(doc_id) mod 4 is 0 or 1, the curve from all with 3, and 2
@@ -100,10 +100,10 @@ def _count(batches):
             both, back = np.unique(np.concatenate([t[0] for t in total]), return_inverse=True)
             total[:] = [[both, *(np.bincount(back, weights=np.concatenate([t[k] for t in total])).astype(np.int64) for k in (1, 2))]]
 
-    for b in slices(batches):
+    for b in slices(batches, limit=2 << 20):
         for text, toxic in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), strict=True):
             seen[1 if toxic else 0].update(text.split(" "))
-        if len(seen[0]) + len(seen[1]) > 400_000:
+        if len(seen[0]) + len(seen[1]) > 100_000:
             fold()
     fold()
     for both, toxic, plain in total:
@@ -210,7 +210,48 @@ def curve(rows) -> list[float] | None:
     return w.tolist()
 
 
-_models: dict[str, tuple[Model, dict]] = {}
+class Judged:
+    """What is known of chunks between spaces: the strongest word's evidence, and the words beyond ENOUGH.
+
+    Two generations of bounded size: when one is full it becomes the older one, and chunks met again move up.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.best, self.old = model, {}, {}
+        self.strong: dict[str, tuple] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.best]
+        if len(self.best) + len(new) > REMEMBERED:
+            self.old, self.best = self.best, {}
+            new = list(chunks)
+        fresh = []
+        for c in new:
+            v = self.old.get(c)
+            if v is None:
+                fresh.append(c)
+            else:
+                self.best[c] = v
+        for k in range(0, len(fresh), 20_000):
+            parts = [(c, words_of(c)) for c in fresh[k : k + 20_000]]
+            distinct = list({w for _, ws in parts for w in ws})
+            score = dict(zip(distinct, self.model.score(distinct).tolist(), strict=True)) if distinct else {}
+            for c, ws in parts:
+                v = self.best[c] = max(map(score.__getitem__, ws), default=0.0)
+                if v > ENOUGH:
+                    self.strong[c] = tuple((w, score[w]) for w in ws if score[w] > ENOUGH)
+        if len(self.strong) > 2 * REMEMBERED:
+            self.strong = {c: v for c, v in self.strong.items() if c in self.best or c in self.old}
+
+    def judge(self, text: str) -> tuple[float, float]:
+        own = set(text.split(" "))
+        self.learn(own)
+        best = list(map(self.best.__getitem__, own))
+        words = dict(x for c, v in zip(own, best, strict=True) if v > ENOUGH for x in self.strong[c])
+        return math.log1p(max(0.0, max(best))), math.log1p(sum(v - ENOUGH for v in words.values()) / math.sqrt(len(own) + 10))
+
+
+_models: dict[str, Judged] = {}
 
 
 def evidence(docs: DataFrame, known) -> DataFrame:
@@ -220,29 +261,15 @@ def evidence(docs: DataFrame, known) -> DataFrame:
     def run(batches):
         if name not in _models:
             _models.clear()
-            _models[name] = (Model(known[1].value), {})
+            _models[name] = Judged(Model(known[1].value))
             known[1].__dict__.pop("_value", None)  # the tables are unfolded; the worker needs no second copy
-        model, memory = _models[name]
-        for b in slices(batches, "text"):
+        judged = _models[name]
+        for b in slices(batches, "text", 2 << 20):
             cols = {n: b.column(k) for k, n in enumerate(b.schema.names)}
-            rows = [t.split(" ") for t in cols["text"].to_numpy(zero_copy_only=False)]
-            new = {c for r in rows for c in r if c not in memory}
-            if len(memory) + len(new) > REMEMBERED:
-                memory.clear()
-                new = {c for r in rows for c in r}
-            parts = [(c, words_of(c)) for c in new]
-            distinct = list({w for _, ws in parts for w in ws})
-            score = dict(zip(distinct, model.score(distinct).tolist(), strict=True)) if distinct else {}
-            memory.update((c, tuple((w, score[w]) for w in ws)) for c, ws in parts)
-            strongest, beyond = [], []
-            for r in rows:
-                own = dict(x for c in set(r) for x in memory[c])
-                most = np.fromiter(own.values(), dtype=float, count=len(own))
-                strongest.append(math.log1p(max(0.0, most.max(initial=0.0))))
-                beyond.append(math.log1p(np.maximum(0, most - ENOUGH).sum() / math.sqrt(len(own) + 10)))
-            for c in [c for c in new if len(c) > 64]:
-                del memory[c]
-            yield pa.RecordBatch.from_arrays([*(cols[n] for n in keep), pa.array(strongest, type=pa.float64()), pa.array(beyond, type=pa.float64())], names=[*keep, "strongest", "beyond"])
+            texts = cols["text"].to_numpy(zero_copy_only=False)
+            judged.learn({c for t in texts for c in t.split(" ")})  # together, so that the arrays are long
+            found = np.array([judged.judge(t) for t in texts], dtype=float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(cols[n] for n in keep), pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*keep, "strongest", "beyond"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.mapInArrow(run, f"{schema}, strongest double, beyond double")
