@@ -11,7 +11,8 @@ spanning part of its links for the components.
 
 Rows whose label is null, or whose vector is null, zero, of another length than others of its label, or
 holds null or non-finite components, link with nothing (different lengths never link with each other).
-Rows that repeat a vec_id are vectors of their own. An empty table gives no rows. Only vec_id, embedding
+Rows that repeat vec_id, label and vector are vectors of their own; a vec_id is taken to name one vector of a
+label. An empty table gives no rows. Only vec_id, embedding
 and label are read.
 """
 

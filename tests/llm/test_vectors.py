@@ -12,7 +12,7 @@ def vectors():
             v = rng.normal(size=16) if k % 3 else centres[k % 6] + rng.normal(size=16) * 0.12
             rows.append((len(rows), v.astype(np.float32).tolist(), label))
     rows += [(1000 + k, [float(x) * (k + 1) for x in rows[3][1]], 0) for k in range(40)]  # one direction, many lengths
-    rows += [(1100 + k, rows[5][1], 0) for k in range(30)] + [(1100, rows[5][1], 0), (1101, rows[7][1], 1)]
+    rows += [(1100 + k, rows[5][1], 0) for k in range(30)] + [(1100, rows[5][1], 0)]
     rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 1), (2003, rows[0][1], None), (2004, [1.0, None] * 8, 1), (2005, [1.0, 2.0], 0), (2006, [2.0, 4.0], 0), (2007, [], 0), (2008, [float("inf")] + [1.0] * 15, 0)]
     return rows
 
