@@ -4,10 +4,10 @@ import sys
 
 import duckdb
 import pytest
+from helpers import SMALL
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -24,10 +24,3 @@ def duck():
     for p in glob.glob(f"{SMALL}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return con
-
-
-def rows_of(df):
-    """Rows of a pandas frame as sorted text, columns by name."""
-    df = df[sorted(df.columns)]
-    text = lambda v: "null" if v is None or v != v or str(v) == "<NA>" else f"{v:.8g}" if isinstance(v, float) else str(v)
-    return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))

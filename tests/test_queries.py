@@ -1,7 +1,7 @@
 """Every query of the catalogue operators gives the rows of its SQL, on the smallest tables."""
 
 import pytest
-from conftest import SMALL, rows_of
+from helpers import SMALL, rows_of
 from starweave.plans import registry
 
 
