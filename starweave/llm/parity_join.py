@@ -41,6 +41,10 @@ WORDS = 5
 BAND = 1.3
 #: Sets below this size send single shingles.
 SMALL = 40
+#: Tasks that groups with one first node are dealt to, at most.
+LANES = 8
+#: Pairs that a task remembers to have given.
+GIVEN = 300_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -174,22 +178,37 @@ def folded(sketch_: np.ndarray, size: int) -> np.ndarray:
     return sketch_
 
 
-def allowed(n: np.ndarray, sketches: list[bytes], i: int, js: np.ndarray, least: Fraction) -> np.ndarray:
-    """Which of js may link with i, by sizes and Hamming distances."""
-    small, large = np.minimum(n[i], n[js]), np.maximum(n[i], n[js])
-    js = js[small * least.denominator >= large * least.numerator]
-    keep = []
-    own = np.frombuffer(sketches[i], dtype=np.uint8)
-    for length in {len(sketches[j]) for j in js}:
-        of = np.array([j for j in js if len(sketches[j]) == length])
-        both = min(length, len(own))
-        other = np.frombuffer(b"".join(sketches[j] for j in of), dtype=np.uint8).reshape(len(of), length)
-        while other.shape[1] > both:
-            half = other.shape[1] // 2
-            other = other[:, :half] ^ other[:, half:]
-        far = np.bitwise_count(other ^ folded(own, both)).sum(1).astype(np.int64)
-        keep.append(of[far * (least.denominator + least.numerator) <= (n[i] + n[of]) * (least.denominator - least.numerator)])
-    return np.concatenate(keep) if keep else js[:0]
+def allowed(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[bytes], least: Fraction):
+    """Pairs (smaller node, larger node) of a group that lie in different parts and that sizes and Hamming distances let link.
+
+    Sets are taken by size, so only a window of sizes is compared with each; sketches of the window have the
+    set's own length or twice that, and are then folded once.
+    """
+    order = np.argsort(n, kind="stable")
+    node, part, n = node[order], part[order], n[order]
+    sketches = [sketches[k] for k in order.tolist()]
+    length = np.array([len(x) for x in sketches])
+    end = np.searchsorted(n, n * least.denominator // least.numerator, side="right")
+    place, table, half = np.zeros(len(n), dtype=np.int64), {}, {}
+    for size in np.unique(length).tolist():
+        of = np.flatnonzero(length == size)
+        place[of] = np.arange(len(of))
+        table[size] = np.frombuffer(b"".join(sketches[k] for k in of.tolist()), dtype=np.uint8).reshape(len(of), size)
+        half[size] = np.ascontiguousarray(table[size][:, : size // 2] ^ table[size][:, size // 2 :])
+    for i in range(len(n) - 1):
+        js = np.arange(i + 1, end[i])
+        js = js[part[js] != part[i]]
+        own = int(length[i])
+        step = max(1, (4 << 20) // own)
+        for x in range(0, len(js), step):
+            some = js[x : x + step]
+            for size, sheet in ((own, table), (2 * own, half)):
+                of = some[length[some] == size]
+                if not len(of):
+                    continue
+                far = np.bitwise_count(sheet[size][place[of]].view(np.uint64) ^ table[own][place[i]].view(np.uint64)).sum(1).astype(np.int64)
+                of = of[far * (least.denominator + least.numerator) <= (n[i] + n[of]) * (least.denominator - least.numerator)]
+                yield from zip(np.minimum(node[i], node[of]).tolist(), np.maximum(node[i], node[of]).tolist(), strict=True)
 
 
 def may_link(na: int, a: bytes, nb: int, b: bytes, least: Fraction) -> bool:
@@ -282,23 +301,51 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     linked = materialize(verify(docs, listed, materialize(thinned(star, marks, least), "thinned"), least), "linked")
     part = connected(linked)
 
-    # Groups that still hold several components: pairs across, thinned by sketches.
-    wide = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id())
-    wide = materialize(wide.select("g", F.explode("nodes").alias("node")), "wide").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Groups that still hold several components: pairs across, thinned by sketches. A pair meets in many groups,
+    # mostly with the same first node; groups are dealt by it in LANES lanes, where a pair is given once.
+    wide = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id()).withColumn("first", F.col("nodes")[0])
+    wide = materialize(wide.select("g", "first", F.explode("nodes").alias("node")), "wide").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = wide.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
-    rest = wide.join(mixed, "g", "left_semi").join(marks, "node")
-
-    def across(table: pa.Table) -> pa.Table:
-        node, part_, n = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "component", "n"))
-        marks_, a, b = table.column("sketch").to_pylist(), [], []
-        order = np.arange(len(node))
-        for i in range(len(node)):
-            js = order[(order > i) & (part_ != part_[i])]
-            for j in allowed(n, marks_, i, js, least) if len(js) else ():
-                a.append(min(node[i], node[j])), b.append(max(node[i], node[j]))
-        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
-
-    pairs = materialize(rest.groupBy("g").applyInArrow(lambda t: across(t), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "across")
+    rest = wide.join(mixed, "g", "left_semi").join(marks, "node").select("first", "g", "node", "component", "n", "sketch")
+    lane = F.expr(f"pmod(xxhash64(g), {LANES})")
+
+    def across(batches):
+        given: set[tuple[int, int]] = set()
+        held: list[pa.RecordBatch] = []
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def pairs_of(rows: list[pa.RecordBatch]):
+            table = pa.Table.from_batches(rows)
+            node, part_, n = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "component", "n"))
+            new = []
+            for pair in allowed(node, part_, n, table.column("sketch").to_pylist(), least):
+                if pair not in given:
+                    if len(given) >= GIVEN:
+                        given.clear()
+                    given.add(pair)
+                    new.append(pair)
+                    if len(new) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
+                        new = []
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
+
+        last = None
+        for b in batches:
+            g = np.asarray(b.column(1))
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist() if len(g) else []
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if held and g[x] != last:
+                    yield from pairs_of(held)
+                    held = []
+                last = g[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from pairs_of(held)
+
+    rest = rest.repartition(buckets, F.col("first"), lane).sortWithinPartitions("first", "g")
+    found = rest.mapInArrow(across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    pairs = materialize(found, "across")
     if not pairs.isEmpty():
         more = materialize(verify(docs, listed, pairs, least), "linked")
         part = connected(linked.union(more))
