@@ -10,9 +10,10 @@ shingles sends its first ones in hash order instead, as many as differ at most a
 more empty blocks than spared. Candidates are verified on whole sets.
 
 Equal sets are one node from the start, and copies never multiply. Within a group that shares a block only
-links to its first node are tried at first; after components are known, only pairs of different components
-are, and of these only such whose one-bit parity sketches (Hamming distance) and sizes allow a link. So no
-link between different sets is lost, and no group is expanded into its pairs. Blocks travel packed, by
+links to its first node are tried at first, then a forest of near pairs of different components; then all
+pairs of components that still differ. Of all these only such are verified whose one-bit parity sketches
+(Hamming distance) and sizes allow a link. So no component is split by a link left out, and pairs within a
+component are not expanded. Blocks travel packed, by
 ranges of their hash, so every task holds an even share whatever the groups' sizes.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; texts of one to four
@@ -179,7 +180,7 @@ def folded(sketch_: np.ndarray, size: int) -> np.ndarray:
 
 
 def allowed(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[bytes], least: Fraction):
-    """Pairs (smaller node, larger node) of a group that lie in different parts and that sizes and Hamming distances let link.
+    """For nodes of a group: the node, and those in other parts that sizes and Hamming distances let it link with, nearest first.
 
     Sets are taken by size, so only a window of sizes is compared with each; sketches of the window have the
     set's own length or twice that, and are then folded once.
@@ -207,8 +208,9 @@ def allowed(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[by
                 if not len(of):
                     continue
                 far = np.bitwise_count(sheet[size][place[of]].view(np.uint64) ^ table[own][place[i]].view(np.uint64)).sum(1).astype(np.int64)
-                of = of[far * (least.denominator + least.numerator) <= (n[i] + n[of]) * (least.denominator - least.numerator)]
-                yield from zip(np.minimum(node[i], node[of]).tolist(), np.maximum(node[i], node[of]).tolist(), strict=True)
+                near = np.flatnonzero(far * (least.denominator + least.numerator) <= (n[i] + n[of]) * (least.denominator - least.numerator))
+                if len(near):
+                    yield int(node[i]), node[of[near[np.argsort(far[near], kind="stable")]]].tolist()
 
 
 def may_link(na: int, a: bytes, nb: int, b: bytes, least: Fraction) -> bool:
@@ -304,29 +306,45 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     # Groups that still hold several components: pairs across, thinned by sketches. A pair meets in many groups,
     # mostly with the same first node; groups are dealt by it in LANES lanes, where a pair is given once.
     wide = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id()).withColumn("first", F.col("nodes")[0])
-    wide = materialize(wide.select("g", "first", F.explode("nodes").alias("node")), "wide").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = wide.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
-    rest = wide.join(mixed, "g", "left_semi").join(marks, "node").select("first", "g", "node", "component", "n", "sketch")
+    wide = materialize(wide.select("g", "first", F.explode("nodes").alias("node")), "wide")
     lane = F.expr(f"pmod(xxhash64(g), {LANES})")
 
-    def across(batches):
+    def across(batches, forest: bool):
+        """All pairs across components; as a forest, only such as join nodes that the lane's pairs have not joined yet."""
         given: set[tuple[int, int]] = set()
+        above: dict[int, int] = {}
         held: list[pa.RecordBatch] = []
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        def chosen(i: int, near: list[int]):
+            if not forest:
+                yield from (p for j in near if (p := (min(i, j), max(i, j))) not in given)
+                return
+            for j in near:
+                if (x := top(i)) != (y := top(j)):
+                    above[x] = y
+                    yield min(i, j), max(i, j)
+                    return
+
         def pairs_of(rows: list[pa.RecordBatch]):
             table = pa.Table.from_batches(rows)
             node, part_, n = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "component", "n"))
             new = []
-            for pair in allowed(node, part_, n, table.column("sketch").to_pylist(), least):
-                if pair not in given:
-                    if len(given) >= GIVEN:
-                        given.clear()
-                    given.add(pair)
+            for i, near in allowed(node, part_, n, table.column("sketch").to_pylist(), least):
+                for pair in chosen(i, near):
                     new.append(pair)
-                    if len(new) >= 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
-                        new = []
+                    if not forest:
+                        given.add(pair)
+                if max(len(given), len(above)) >= GIVEN:
+                    given.clear(), above.clear()
+                if len(new) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
+                    new = []
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
 
@@ -343,12 +361,17 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
         if held:
             yield from pairs_of(held)
 
-    rest = rest.repartition(buckets, F.col("first"), lane).sortWithinPartitions("first", "g")
-    found = rest.mapInArrow(across, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    pairs = materialize(found, "across")
-    if not pairs.isEmpty():
-        more = materialize(verify(docs, listed, pairs, least), "linked")
-        part = connected(linked.union(more))
+    tried = star
+    for forest in (True, False):  # first a forest of near pairs, so that a large group becomes one component; then all that is left
+        now = wide.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = now.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
+        rest = now.join(mixed, "g", "left_semi").join(marks, "node").select("first", "g", "node", "component", "n", "sketch")
+        rest = rest.repartition(buckets, F.col("first"), lane).sortWithinPartitions("first", "g")
+        found = rest.mapInArrow(lambda batches, forest=forest: across(batches, forest), "a long, b long").distinct()
+        pairs = materialize(found.join(tried, ["a", "b"], "left_anti"), "across")
+        if not pairs.isEmpty():
+            linked = materialize(linked.union(verify(docs, listed, pairs, least)), "linked")
+            part, tried = connected(linked), tried.union(pairs)
     least_of = listed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = part.join(least_of, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = part.join(named, "component").select("node", "component_id")
