@@ -8,9 +8,10 @@ evidence beyond ENOUGH of its distinct words, normalised by the root of its numb
 both, fitted on labelled rows that the counts have not seen, turns them into a score.
 
 Counts come from all labelled rows whose crc32(doc_id) mod 4 is 0 or 1, the curve from all with 3, and 2
-is held out. Counting and merging are distributed and follow the input; what reaches the workers is folded
-into a table of CELLS cells for each kind of count, so its size is bounded. Labels are joined to texts
-by broadcast only while they are few (a checked count), else by a shuffle.
+is held out. Every string of letters keeps its own counts, whatever their number: counts are written, dealt by
+the letters before the last one, and each string of the corpus gets its evidence where its counts lie. Workers
+look strings up in slices of at most about SLICE strings, of which they hold HELD at a time. Labels are joined
+to texts by broadcast only while they are few (a checked count), else by a shuffle.
 
 Null and empty texts have no words and evidence 0. Repeated rows each give a row; of repeated labels the
 largest counts; null labels are ignored. Without labels of both classes every score is 0. An empty table
@@ -19,6 +20,7 @@ gives no rows. Only doc_id, text and the labels' doc_id and toxic are read.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections import Counter
@@ -29,14 +31,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .shared import joined, materialize, slices
+from .shared import materialize, parts, slices
 
 ORDER = 8
 #: Bits of a letter's code.
 BITS = 7
 DISCOUNT = 0.75
-#: A prime, so that byte strings spread over the cells.
-CELLS = 2_097_143
+#: Strings are dealt by so many symbols before the last one; shared counts of strings no longer than this are
+#: broadcast (at most about FOLD ** SHORT, whatever the corpus).
+SHORT = 3
+#: Rows of counts in one group, about.
+GROUP = 100_000
+#: Strings in one table of evidence, about, and tables that a worker holds (16 bytes a string).
+SLICE = 1_000_000
+HELD = 4
 #: Labelled rows up to which they are broadcast (16 bytes each).
 FEW = 2_000_000
 #: Evidence of a word (natural logarithm) that chance alone often reaches.
@@ -48,6 +56,8 @@ REMEMBERED = 150_000
 THRESHOLD = 0.3
 #: All but letters of ASCII is white space; code points above count as letters.
 LETTERS = {c: " " for c in range(128) if not 97 <= c <= 122}
+#: The same, but for the space between chunks.
+INNER = {c: "\n" for c in LETTERS if c != 32}
 #: The space's code; letters follow, folded so that Latin letters with and without marks stay apart.
 SPACE = 1
 FOLD = 100
@@ -57,6 +67,11 @@ def words_of(chunk: str) -> list[str]:
     return chunk.lower().translate(LETTERS).split()
 
 
+def words_of_each(chunks) -> list[list[str]]:
+    """words_of for many chunks, none of which holds a space."""
+    return [c.split() for c in " ".join(chunks).lower().translate(INNER).split(" ")]
+
+
 def tops(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each letter of the words and each word's end: the longest string that predicts it, packed, its length, and the word."""
     flat = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
@@ -78,23 +93,41 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
+def whole(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A string as one number."""
+    return key | (size.astype(np.int64) << 56)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, and what one step has freed counts in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def _count(batches):
-    """Counts of each top string in toxic and ordinary text, a row for each string and task."""
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    """Counts of each top string in toxic and ordinary text (none for texts that are not counted), a row for each string and task."""
+    _models.clear()  # of an earlier call
+    release()
+    seen: dict[int | None, Counter | set] = {0: Counter(), 1: Counter(), None: set()}
     total: list[list[np.ndarray]] = []
 
     def fold():
         for toxic, chunks in seen.items():
-            words: Counter = Counter()
-            for chunk, n in chunks.items():
-                for w in words_of(chunk):
-                    words[w] += n
+            if toxic is None:
+                words = dict.fromkeys(words_of(" ".join(chunks)), 0)
+            else:
+                words = Counter()
+                for ws, n in zip(words_of_each(chunks), chunks.values(), strict=False):  # no chunks: one empty list
+                    for w in ws:
+                        words[w] += n
             if words:
                 key, size, word = tops(list(words))
                 weight = np.fromiter(words.values(), dtype=np.int64)[word]
-                both, back = np.unique(key | (size << 56), return_inverse=True)
+                both, back = np.unique(whole(key, size), return_inverse=True)
                 n = np.bincount(back, weights=weight).astype(np.int64)
-                total.append([both, n * toxic, n * (1 - toxic)])
+                total.append([both, n * (toxic == 1), n * (toxic == 0)])
             chunks.clear()
         if len(total) > 1:
             both, back = np.unique(np.concatenate([t[0] for t in total]), return_inverse=True)
@@ -102,88 +135,140 @@ def _count(batches):
 
     for b in slices(batches, limit=2 << 20):
         for text, toxic in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), strict=True):
-            seen[1 if toxic else 0].update(text.split(" "))
-        if len(seen[0]) + len(seen[1]) > 100_000:
+            seen[toxic].update(text.split(" "))
+        if sum(map(len, seen.values())) > 100_000:
             fold()
     fold()
+    both = toxic = plain = None
     for both, toxic, plain in total:
         for k in range(0, len(both), 100_000):
             s = slice(k, k + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(both[s] & ((1 << 56) - 1)), pa.array((both[s] >> 56).astype(np.int32)), pa.array(toxic[s]), pa.array(plain[s])], names=["key", "size", "toxic", "plain"])
+    total.clear()
+    del both, toxic, plain
+    release()
 
 
-def cell(key: str, size: str) -> Column:
-    return F.expr(f"pmod({key} + cast({size} as long) * 72057594037927, {CELLS}L)")
+class Sums:
+    """Sums of columns by string."""
 
+    def __init__(self, key: np.ndarray, size: np.ndarray, *columns: np.ndarray):
+        self.keys, back = np.unique(whole(key, size), return_inverse=True)
+        self.sums = np.stack([np.bincount(back, weights=c, minlength=len(self.keys)) for c in columns], 1)
 
-def cells(key: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return (key + size.astype(np.int64) * 72057594037927) % CELLS
+    def of(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A row for each string asked; zeros where it is not known."""
+        found = np.zeros((len(key), self.sums.shape[1]))
+        if len(self.keys):
+            asked = whole(key, size)
+            at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            hit = self.keys[at] == asked
+            found[hit] = self.sums[at[hit]]
+        return found
+
+
+def string_evidence(top: tuple[np.ndarray, ...], shared: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Evidence of each top string (key, size, toxic, plain); shared: key, size and number of the continuation counts.
+
+    Both must hold all strings that agree with an asked one in all symbols before the last.
+    """
+    key, size, *n = top
+    low_key, low_size, low_n = shared
+    low, low_ctx = Sums(low_key, low_size, low_n), Sums(low_key >> BITS, low_size - 1, low_n, np.ones(len(low_n)))
+    p = np.full(len(key), 1.0 / FOLD)
+    for k in range(1, ORDER):  # shared: predict from k - 1 symbols
+        at = np.flatnonzero(k < size)
+        suffix, of = key[at] & ((np.int64(1) << (BITS * k)) - 1), np.full(len(at), k, dtype=np.int64)
+        seen = low.of(suffix, of)[:, 0]
+        total, kinds = low_ctx.of(suffix >> BITS, of - 1).T
+        new = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * kinds * p[at]) / np.maximum(total, 1)
+        p[at] = np.where(total > 0, new, p[at])
+    ctx = Sums(key >> BITS, size - 1, *n, *(c > 0 for c in n)).of(key >> BITS, size - 1)
+    logs = []
+    for c in (0, 1):
+        total, kinds = ctx[:, c], ctx[:, 2 + c]
+        q = (np.maximum(n[c] - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1)
+        logs.append(np.log(np.maximum(np.where(total > 0, q, p), 1e-12)))
+    return logs[0] - logs[1]
+
+
+def strings(counts: DataFrame) -> DataFrame:
+    """Evidence of each string of counts (a row each; those without counts are asked only), by its number; without those of evidence 0."""
+    spark = counts.sparkSession
+    spread = F.explode(F.expr(f"transform(sequence(2, greatest(size, 2)), n -> struct(n as size, key & (shiftleft(1L, {BITS} * n) - 1) as key))")).alias("x")
+    suffixes = counts.where("toxic + plain > 0").select(spread, "size").where(f"size >= 2 and x.size <= least(size, {ORDER})").select("x.size", "x.key").distinct()
+    low = materialize(suffixes.groupBy(F.expr(f"key & (shiftleft(1L, {BITS} * (size - 1)) - 1)").alias("key"), F.expr("size - 1").alias("size")).agg(F.count(F.lit(1)).alias("n")), "shared")
+    short = low.where(f"size <= {SHORT}").select("key", F.col("size").cast("long"), "n").toArrow()  # bounded by the alphabet
+    short = spark.sparkContext.broadcast([np.asarray(c) for c in short.columns])
+
+    def run(table: pa.Table) -> pa.Table:
+        top, key, size, a, b = (np.asarray(table.column(c)) for c in ("top", "key", "size", "a", "b"))
+        size = size.astype(np.int64)
+        own = [np.concatenate(x) for x in zip(short.value, (key[~top], size[~top], a[~top]), strict=True)]
+        value = string_evidence((key[top], size[top], a[top], b[top]), own)
+        keep = value != 0
+        release()
+        return pa.table({"string": whole(key[top], size[top])[keep], "evidence": value[keep]})
+
+    rows = counts.select(F.lit(True).alias("top"), "key", "size", F.col("toxic").alias("a"), F.col("plain").alias("b")).unionAll(
+        low.where(f"size > {SHORT}").select(F.lit(False).alias("top"), "key", "size", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
+    )
+    groups = max(parts(spark), -(-(counts.count() + low.count()) // GROUP))
+    before = F.expr(f"shiftright(key, {BITS}) & {(1 << (BITS * SHORT)) - 1}L")
+    return rows.groupBy(F.pmod(F.xxhash64(before), F.lit(groups))).applyInArrow(run, "string long, evidence double")
+
+
+def tables(found: DataFrame) -> list:
+    """Broadcasts of the strings, sorted, and their evidence, in slices of bounded size that reach the driver one after another."""
+    n = max(1, -(-found.count() // SLICE))
+    made = []
+    for k in range(n):
+        t = found.where(F.pmod(F.xxhash64("string"), F.lit(n)) == k).toArrow()
+        key, value = (np.asarray(c) for c in t.columns)
+        order = np.argsort(key)
+        made.append(found.sparkSession.sparkContext.broadcast((key[order], value[order])))
+    return made
 
 
 class Model:
-    """The folded counts; top: strings by class; ctx: what stands before them; low and low_ctx: the shared continuation counts."""
+    """Evidence of words, summed over their strings."""
 
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.tables = {}
-        for name, (at, values) in tables.items():
-            full = np.zeros((CELLS, values.shape[1]), dtype=np.float32)
-            full[at] = values
-            self.tables[name] = full
+    def __init__(self, tables: list):
+        self.tables = tables
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """Evidence of each word."""
+    def score(self, words: list[str]) -> np.ndarray:
         key, size, word = tops(words)
-        p = np.full(len(key), 1.0 / FOLD)
-        for n in range(1, ORDER):  # shared: predict from n - 1 bytes
-            own = n < size
-            k = key & ((np.int64(1) << (BITS * n)) - 1)
-            of = np.full(len(key), n, dtype=np.int64)
-            seen = self.tables["low"][cells(k, of), 0]
-            total, kinds = self.tables["low_ctx"][cells(k >> BITS, of - 1)].T
-            ok = own & (total > 0)
-            new = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1)
-            p = np.where(ok, new, p)
-        # Two foldings of the strings: where one runs together with another string, the smaller count is nearer.
-        seen = np.minimum(self.tables["top"][cells(key, size)], self.tables["top_2"][cells(key >> 3, size + 9 * (key & 7))])
-        ctx = self.tables["ctx"][cells(key >> BITS, size - 1)]
-        logs = []
-        for c in (0, 1):
-            total, kinds = ctx[:, c], ctx[:, 2 + c]
-            q = (np.maximum(np.minimum(seen[:, c], total) - DISCOUNT, 0) + DISCOUNT * kinds * p) / np.maximum(total, 1)
-            logs.append(np.log(np.maximum(np.where(total > 0, q, p), 1e-12)))
-        return np.bincount(word, weights=logs[0] - logs[1], minlength=len(words))
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+        asked, back = np.unique(whole(key, size), return_inverse=True)
+        found = np.zeros(len(asked))
+        for k, table in enumerate(self.tables):
+            keys, values = table.value
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                hit = keys[at] == asked
+                found[hit] = values[at[hit]]
+            if k >= HELD:
+                del keys, values
+                table.__dict__.pop("_value", None)  # read again when needed, so that memory stays bounded
+        return np.bincount(word, weights=found[back], minlength=len(words))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.expr("cast(toxic > 0 as int)")).alias("toxic"))
     few = labels.limit(FEW + 1).count() <= FEW
-    return docs.join(F.broadcast(labels) if few else labels, "doc_id")
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id", how)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple, list[float] | None]:
-    """A name and broadcast of the model's tables, and the curve's weights (None: not both classes are labelled)."""
+    """A name and broadcasts of the evidence of all strings of docs, and the curve's weights (None: not both classes are labelled)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     part = held_out(F.col("doc_id"))
-    rows = labelled(docs.where(part < 2), labels).select("text", "toxic")
+    rows = labelled(docs, labels, "left").select("text", F.when(part < 2, F.col("toxic")).alias("toxic"))
     # Strings are counted where the rows lie and merged by a combinable aggregate.
     counts = rows.mapInArrow(_count, "key long, size int, toxic long, plain long").groupBy("key", "size").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    counts = materialize(counts, "strings")
-    suffixes = counts.select(F.explode(F.expr(f"transform(sequence(2, greatest(size, 2)), n -> struct(n as size, key & (shiftleft(1L, {BITS} * n) - 1) as key))")).alias("x"), "size").where(f"size >= 2 and x.size <= least(size, {ORDER})").select("x.size", "x.key").distinct()
-    low = materialize(suffixes.groupBy(F.expr(f"key & (shiftleft(1L, {BITS} * (size - 1)) - 1)").alias("key"), F.expr("size - 1").alias("size")).agg(F.count(F.lit(1)).alias("n")), "shared")
-    asked = {
-        "top": counts.groupBy(cell("key", "size").alias("at")).agg(F.sum("toxic"), F.sum("plain")),
-        "top_2": counts.groupBy(cell("shiftright(key, 3)", "size + 9 * (key & 7)").alias("at")).agg(F.sum("toxic"), F.sum("plain")),
-        "ctx": counts.groupBy(cell(f"shiftright(key, {BITS})", "size - 1").alias("at")).agg(F.sum("toxic"), F.sum("plain"), F.sum(F.expr("cast(toxic > 0 as int)")), F.sum(F.expr("cast(plain > 0 as int)"))),
-        "low": low.groupBy(cell("key", "size").alias("at")).agg(F.sum("n")),
-        "low_ctx": low.groupBy(cell(f"shiftright(key, {BITS})", "size - 1").alias("at")).agg(F.sum("n"), F.count(F.lit(1))),
-    }
-    tables = {}
-    for name, df in asked.items():  # at most CELLS rows each
-        t = df.toArrow()
-        tables[name] = (np.asarray(t.column(0)), np.stack([np.asarray(c).astype(np.float32) for c in t.columns[1:]], 1))
-    known = (uuid.uuid4().hex, spark.sparkContext.broadcast(tables))
+    found = materialize(strings(materialize(counts, "strings")), "evidence")
+    known = (uuid.uuid4().hex, tables(found))
     seen = labelled(docs.where(part == 3), labels).select("doc_id", "text", "toxic")
     bins = [F.expr(f"cast(round(least({c}, {REACH}D) * {BINS / REACH}D) as int)").alias(c) for c in ("strongest", "beyond")]
     binned = evidence(seen, known).groupBy(*bins, "toxic").agg(F.count(F.lit(1)).alias("n"))
@@ -233,11 +318,12 @@ class Judged:
             else:
                 self.best[c] = v
         for k in range(0, len(fresh), 20_000):
-            parts = [(c, words_of(c)) for c in fresh[k : k + 20_000]]
-            distinct = list({w for _, ws in parts for w in ws})
+            part = fresh[k : k + 20_000]
+            found = words_of_each(part)
+            distinct = list({w for ws in found for w in ws})
             score = dict(zip(distinct, self.model.score(distinct).tolist(), strict=True)) if distinct else {}
-            for c, ws in parts:
-                v = self.best[c] = max(map(score.__getitem__, ws), default=0.0)
+            for c, ws in zip(part, found, strict=True):
+                v = self.best[c] = score[ws[0]] if len(ws) == 1 else max(map(score.__getitem__, ws), default=0.0)
                 if v > ENOUGH:
                     self.strong[c] = tuple((w, score[w]) for w in ws if score[w] > ENOUGH)
         if len(self.strong) > 2 * REMEMBERED:
@@ -261,9 +347,9 @@ def evidence(docs: DataFrame, known) -> DataFrame:
     def run(batches):
         if name not in _models:
             _models.clear()
-            _models[name] = Judged(Model(known[1].value))
-            known[1].__dict__.pop("_value", None)  # the tables are unfolded; the worker needs no second copy
+            _models[name] = Judged(Model(known[1]))
         judged = _models[name]
+        judged.model.tables = known[1]  # of this task: an earlier task's files may be gone
         for b in slices(batches, "text", 2 << 20):
             cols = {n: b.column(k) for k, n in enumerate(b.schema.names)}
             texts = cols["text"].to_numpy(zero_copy_only=False)
