@@ -5,16 +5,20 @@ to blocks and a block's shingles are XORed: a parity sketch, in which every shin
 sets holds changes at most one block, so the number of differing blocks bounds the symmetric difference
 from below. Sets of similarity t or more differ in at most (1 - t) / (1 + t) of their total size; with
 more blocks than that, and some to spare for blocks that are empty, at least one block that is not empty
-must be equal (pigeonhole). Equal blocks make candidates. A set small enough that blocks would hold single
-shingles sends its first ones in hash order instead, as many as differ at most and one; so does a set with
-more empty blocks than spared. Candidates are verified on whole sets.
+must be equal (pigeonhole). A set small enough that blocks would hold single shingles sends its first ones
+in hash order instead, as many as differ at most and one; so does a set with more empty blocks than spared.
 
-Equal sets are one node from the start, and copies never multiply. Within a group that shares a block only
-links to its first node are tried at first, then a forest of near pairs of different components; then all
-pairs of components that still differ. Of all these only such are verified whose one-bit parity sketches
-(Hamming distance) and sizes allow a link. So no component is split by a link left out, and pairs within a
-component are not expanded. Blocks travel packed, by
-ranges of their hash, so every task holds an even share whatever the groups' sizes.
+Equal sets are one node from the start, and copies never multiply. All nodes that share a block point at the
+smallest of them, so what leaves a block grows with its nodes and not with their pairs. The nodes that point
+at one node, and that node, are its circle: two nodes with an equal block always share a circle. A task takes
+one circle, or two parts of one that is larger than PART, and compares sizes and one-bit parity sketches
+(Hamming distance). Only nodes that may link with one of another component go on; their whole sets are
+brought to the same task, which verifies pairs that no link has joined yet and gives a forest of links.
+So neither step gives more rows than it takes, no link between components is left out, and pairs within a
+component are not expanded. A circle larger than PART is compared with its smallest node first: nodes
+that are linked through it are not compared with each other again.
+
+Blocks travel packed, by ranges of their hash; the number of ranges follows the number of shingles.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing; texts of one to four
 words have one shingle, the whole sequence. Repeated rows are documents of their own (with one doc_id they
@@ -42,10 +46,10 @@ WORDS = 5
 BAND = 1.3
 #: Sets below this size send single shingles.
 SMALL = 40
-#: Tasks that groups with one first node are dealt to, at most.
-LANES = 8
-#: Pairs that a task remembers to have given.
-GIVEN = 300_000
+#: Nodes of one part of a circle; a task compares two parts at most.
+PART = 4096
+#: Bytes of packed blocks in one range of their hash, about.
+RANGE = 16 << 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -167,8 +171,8 @@ def keys_of(sets: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One-bit parity sketch, of one to two bits for each shingle (a power of two): sets that share little differ in twice as many bits as similar ones may."""
-    bits = 1 << max(6, int(len(hashes) - 1).bit_length())
+    """One-bit parity sketch, of four to eight bits for each shingle (a power of two), so that few differences fall together."""
+    bits = 1 << max(6, int(4 * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -179,38 +183,48 @@ def folded(sketch_: np.ndarray, size: int) -> np.ndarray:
     return sketch_
 
 
-def allowed(node: np.ndarray, part: np.ndarray, n: np.ndarray, sketches: list[bytes], least: Fraction):
-    """For nodes of a group: the node, and those in other parts that sizes and Hamming distances let it link with, nearest first.
+def near(part: np.ndarray, n: np.ndarray, sketches: list[bytes], least: Fraction):
+    """For nodes of a circle: a row, and the rows in other parts that sizes and Hamming distances let it link with, nearest first; a pair once.
 
-    Sets are taken by size, so only a window of sizes is compared with each; sketches of the window have the
-    set's own length or twice that, and are then folded once.
+    Rows of the most frequent part are not taken as the first of a pair, so two large parts are not needed to
+    find what a few other nodes link with. Sizes of similar sets differ by less than two, so sketches are folded once at most.
     """
+    kinds, of = np.unique(part, return_inverse=True)
+    if len(kinds) < 2:
+        return
+    main = int(np.argmax(np.bincount(of)))
+    length = np.fromiter(map(len, sketches), dtype=np.int64, count=len(sketches))
     order = np.argsort(n, kind="stable")
-    node, part, n = node[order], part[order], n[order]
-    sketches = [sketches[k] for k in order.tolist()]
-    length = np.array([len(x) for x in sketches])
-    end = np.searchsorted(n, n * least.denominator // least.numerator, side="right")
+    up = n[order]
     place, table, half = np.zeros(len(n), dtype=np.int64), {}, {}
     for size in np.unique(length).tolist():
-        of = np.flatnonzero(length == size)
-        place[of] = np.arange(len(of))
-        table[size] = np.frombuffer(b"".join(sketches[k] for k in of.tolist()), dtype=np.uint8).reshape(len(of), size)
-        half[size] = np.ascontiguousarray(table[size][:, : size // 2] ^ table[size][:, size // 2 :])
-    for i in range(len(n) - 1):
-        js = np.arange(i + 1, end[i])
-        js = js[part[js] != part[i]]
-        own = int(length[i])
+        rows = np.flatnonzero(length == size)
+        place[rows] = np.arange(len(rows))
+        raw = np.frombuffer(b"".join(sketches[k] for k in rows.tolist()), dtype=np.uint64).reshape(len(rows), -1)
+        table[size] = raw
+        raw = raw.view(np.uint8)
+        half[size] = np.ascontiguousarray(raw[:, : size // 2] ^ raw[:, size // 2 :])
+    for i in order[of[order] != main].tolist():
+        low = np.searchsorted(up, -(-int(n[i]) * least.numerator // least.denominator))
+        high = np.searchsorted(up, int(n[i]) * least.denominator // least.numerator, side="right")
+        js = order[low:high]
+        js = js[(of[js] != of[i]) & ((of[js] == main) | (n[js] > n[i]) | ((n[js] == n[i]) & (js > i)))]
+        own, hits, fars = int(length[i]), [], []
         step = max(1, (4 << 20) // own)
         for x in range(0, len(js), step):
             some = js[x : x + step]
-            for size, sheet in ((own, table), (2 * own, half)):
-                of = some[length[some] == size]
-                if not len(of):
+            for size in (own // 2, own, 2 * own):
+                rows = some[length[some] == size]
+                if not len(rows):
                     continue
-                far = np.bitwise_count(sheet[size][place[of]].view(np.uint64) ^ table[own][place[i]].view(np.uint64)).sum(1).astype(np.int64)
-                near = np.flatnonzero(far * (least.denominator + least.numerator) <= (n[i] + n[of]) * (least.denominator - least.numerator))
-                if len(near):
-                    yield int(node[i]), node[of[near[np.argsort(far[near], kind="stable")]]].tolist()
+                sheet = half[size][place[rows]] if size > own else table[size][place[rows]].view(np.uint8)
+                mine = half[own][place[i]] if size < own else table[own][place[i]].view(np.uint8)
+                wide = np.uint64 if len(mine) % 8 == 0 else np.uint32
+                far = np.bitwise_count(sheet.view(wide) ^ mine.view(wide)).sum(1, dtype=np.int64)
+                ok = far * (least.denominator + least.numerator) <= (n[i] + n[rows]) * (least.denominator - least.numerator)
+                hits.append(rows[ok]), fars.append(far[ok])
+        if hits and len(js := np.concatenate(hits)):
+            yield i, js[np.argsort(np.concatenate(fars), kind="stable")].tolist()
 
 
 def may_link(na: int, a: bytes, nb: int, b: bytes, least: Fraction) -> bool:
@@ -234,7 +248,6 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     spark = docs.sparkSession
     rows = texts(docs)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    buckets = parts(spark, 8)
 
     def describe(batches):
         """doc_id, node, n, sketch of each document."""
@@ -269,9 +282,11 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
 
     # Shingles are hashed once more for the keys: cheaper than writing these down.
     listed = materialize(rows.mapInArrow(describe, f"doc_id {ids}, node long, n long, sketch binary"), "listed")
+    shingles = listed.agg(F.sum("n")).first()[0] or 0
+    buckets = max(parts(spark, 8), -(-8 * shingles // RANGE))  # about a block of 5 bytes, and its node, for each shingle
 
     def meet(table: pa.Table) -> pa.Table:
-        """Groups of different nodes that share a key: nodes in order, each group once."""
+        """(a, b): of the nodes that share a key, each but the smallest with the smallest; a pair once."""
         nodes, keys = [], []
         for data in table.column("data").to_pylist():
             m = int(np.frombuffer(data, "<u4", 1)[0])
@@ -289,89 +304,34 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
         node, key = node[again], key[again]
         order = np.lexsort((node, key))
         node, key = node[order], key[order]
-        one = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else again[:0]
-        node, key = node[one], key[one]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, dtype=np.int64)
-        seen = {node[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if y - x > 1}
-        return pa.table({"nodes": pa.array([np.frombuffer(s, dtype=np.int64) for s in sorted(seen)], type=pa.list_(pa.int64()))})
-
-    groups = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "nodes array<long>")
-    groups = materialize(groups, "groups")
-    star = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.expr("slice(nodes, 2, size(nodes) - 1)")).alias("b")).distinct()
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else again[:0]
+        first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
+        both = np.unique(np.stack([first, node], 1)[first != node], axis=0)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    star = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
     star = materialize(star, "star")
     marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
-    linked = materialize(verify(docs, listed, materialize(thinned(star, marks, least), "thinned"), least), "linked")
-    part = connected(linked)
-
-    # Groups that still hold several components: pairs across, thinned by sketches. A pair meets in many groups,
-    # mostly with the same first node; groups are dealt by it in LANES lanes, where a pair is given once.
-    wide = groups.where("size(nodes) > 2").withColumn("g", F.monotonically_increasing_id()).withColumn("first", F.col("nodes")[0])
-    wide = materialize(wide.select("g", "first", F.explode("nodes").alias("node")), "wide")
-    lane = F.expr(f"pmod(xxhash64(g), {LANES})")
-
-    def across(batches, forest: bool):
-        """All pairs across components; as a forest, only such as join nodes that the lane's pairs have not joined yet."""
-        given: set[tuple[int, int]] = set()
-        above: dict[int, int] = {}
-        held: list[pa.RecordBatch] = []
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def top(x: int) -> int:
-            while (y := above.get(x, x)) != x:
-                above[x] = x = above.get(y, y)
-            return x
-
-        def chosen(i: int, near: list[int]):
-            if not forest:
-                yield from (p for j in near if (p := (min(i, j), max(i, j))) not in given)
-                return
-            for j in near:
-                if (x := top(i)) != (y := top(j)):
-                    above[x] = y
-                    yield min(i, j), max(i, j)
-                    return
-
-        def pairs_of(rows: list[pa.RecordBatch]):
-            table = pa.Table.from_batches(rows)
-            node, part_, n = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "component", "n"))
-            new = []
-            for i, near in allowed(node, part_, n, table.column("sketch").to_pylist(), least):
-                for pair in chosen(i, near):
-                    new.append(pair)
-                    if not forest:
-                        given.add(pair)
-                if max(len(given), len(above)) >= GIVEN:
-                    given.clear(), above.clear()
-                if len(new) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
-                    new = []
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], schema=schema)
-
-        last = None
-        for b in batches:
-            g = np.asarray(b.column(1))
-            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist() if len(g) else []
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                if held and g[x] != last:
-                    yield from pairs_of(held)
-                    held = []
-                last = g[x]
-                held.append(b.slice(x, y - x))
-        if held:
-            yield from pairs_of(held)
-
-    tried = star
-    for forest in (True, False):  # first a forest of near pairs, so that a large group becomes one component; then all that is left
-        now = wide.join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("g").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("g")
-        rest = now.join(mixed, "g", "left_semi").join(marks, "node").select("first", "g", "node", "component", "n", "sketch")
-        rest = rest.repartition(buckets, F.col("first"), lane).sortWithinPartitions("first", "g")
-        found = rest.mapInArrow(lambda batches, forest=forest: across(batches, forest), "a long, b long").distinct()
-        pairs = materialize(found.join(tried, ["a", "b"], "left_anti"), "across")
-        if not pairs.isEmpty():
-            linked = materialize(linked.union(verify(docs, listed, pairs, least)), "linked")
-            part, tried = connected(linked), tried.union(pairs)
+    large = star.groupBy("a").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {PART}")
+    large = materialize(large, "large")
+    if large.isEmpty():
+        part = None
+        inside = star.withColumn("component", F.col("b")).unionByName(star.select("a", F.col("a").alias("b"), F.col("a").alias("component")).distinct())
+    else:
+        part = connected(verify(docs, listed, materialize(thinned(star.join(large.select("a"), "a", "left_semi"), marks, least), "thinned"), least))
+        part = materialize(part, "part")
+        inside = star.select("a", "b").union(star.select("a", F.col("a").alias("b")).distinct())
+        inside = inside.join(part.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    rest = materialize(tasks(inside).join(marks, "node").select("task", "node", "component", "n", "sketch"), "rest")
+    suspects = materialize(by_task(rest, "n", "sketch").mapInArrow(lambda batches: suspected(batches, least), "task long, node long, component long"), "suspects")
+    whole = sets_of(docs, listed, suspects.select("node").distinct())
+    links = by_task(suspects.join(whole, "node"), "hashes").mapInArrow(lambda batches: forest(batches, least), "a long, b long")  # of components
+    joined = connected(materialize(links, "links"))
+    if part is None:
+        part = joined
+    else:
+        ends = part.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+        part = ends.unionByName(joined.join(part.select("node"), "node", "left_anti"))
     least_of = listed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = part.join(least_of, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = part.join(named, "component").select("node", "component_id")
@@ -400,9 +360,99 @@ def thinned(pairs: DataFrame, marks: DataFrame, least: Fraction) -> DataFrame:
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(keep, "a long, b long")
 
 
-def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by their whole sets."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def tasks(inside: DataFrame) -> DataFrame:
+    """(task, node, component): every two nodes of a circle that are of different components are in a task together.
+
+    inside: a (names the circle), b (a node in it) and its component. Components of more than PART nodes are
+    cut in parts of their own, so two parts of one component are never compared.
+    """
+    own = inside.groupBy("a", "component").agg(F.count(F.lit(1)).alias("held"))
+    small = own.groupBy("a").agg(F.sum(F.expr(f"case when held > {PART} then 0 else held end")).alias("small"), F.sum("held").alias("held_all"))
+    # A circle that fits is one part; most are.
+    sized = own.join(small, "a")
+    cut = materialize(sized.where(f"held_all > {PART}").select("a", "component", "held", "small"), "cut")
+    fits = inside.join(cut.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("task"), F.col("b").alias("node"), "component")
+    if cut.isEmpty():
+        return fits
+    place = F.expr(f"""case when held > {PART} then xxhash64(component, pmod(xxhash64(b, 3), cast(ceil(held / {PART}D) as long)))
+        else xxhash64('small', pmod(xxhash64(component, 3), cast(ceil(small / {PART}D) as long))) end""")
+    placed = materialize(inside.join(cut, ["a", "component"]).select("a", "b", "component", place.alias("part"), F.expr(f"held > {PART}").alias("one")), "placed")
+    parts_ = placed.groupBy("a", "part").agg(F.max(F.expr("case when one then component end")).alias("one"))  # a row for each PART nodes, about
+    x, y = (parts_.select("a", F.col("part").alias(f"part_{k}"), F.col("one").alias(f"one_{k}")) for k in (1, 2))
+    pairs = x.join(y, "a").where("part_1 <= part_2 and not coalesce(one_1 = one_2, false)")
+    pairs = pairs.select("a", F.array_distinct(F.array("part_1", "part_2")).alias("both"), F.xxhash64("a", "part_1", "part_2").alias("task"))
+    dealt = placed.join(pairs.select("a", "task", F.explode("both").alias("part")), ["a", "part"])
+    return fits.unionByName(dealt.select("task", F.col("b").alias("node"), "component"))
+
+
+def by_task(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows of a task together, in order of node."""
+    return rows.select("task", "node", "component", *more).repartition(parts(rows.sparkSession, 8), "task").sortWithinPartitions("task", "node")
+
+
+def each_task(batches):
+    """Tables of the rows of one task."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        g = np.asarray(b.column(0))
+        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))).tolist() if len(g) else []
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            if held and g[x] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = g[x]
+            held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def distinct_nodes(table: pa.Table) -> pa.Table:
+    node = np.asarray(table.column("node").combine_chunks())
+    return table.filter(pa.array(np.concatenate(([True], node[1:] != node[:-1]))))
+
+
+def suspected(batches, least: Fraction):
+    """The nodes of each task that may link with one of another component."""
+    for table in map(distinct_nodes, each_task(batches)):
+        part, n = (np.asarray(table.column(c).combine_chunks()) for c in ("component", "n"))
+        hit = np.zeros(len(n), dtype=bool)
+        for i, js in near(part, n, table.column("sketch").to_pylist(), least):
+            hit[i] = hit[js] = True
+        if hit.any():
+            yield from table.select(["task", "node", "component"]).filter(pa.array(hit)).to_batches()
+
+
+def forest(batches, least: Fraction):
+    """Links (of components) found by whole sets, of which each joins what the task's links have not joined yet."""
+    for table in map(distinct_nodes, each_task(batches)):
+        part = np.asarray(table.column("component").combine_chunks())
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        n = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        above: dict[int, int] = {}
+
+        def top(x: int, above: dict[int, int] = above) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        new = []
+        for i, js in near(part, n, [sketch(x) for x in sets], least):
+            for j in js:
+                if (x := top(int(part[i]))) != (y := top(int(part[j]))) and similar(sets[i], sets[j], least):
+                    above[max(x, y)] = min(x, y)
+                    new.append((int(part[i]), int(part[j])))
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*new, strict=True)], names=["a", "b"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * least.denominator >= least.numerator * (len(x) + len(y) - both)
+
+
+def sets_of(docs: DataFrame, listed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, hashes) of the asked nodes, each read from one document."""
     source = listed.groupBy("node").agg(F.max("doc_id").alias("doc_id")).join(asked, "node").select("doc_id").distinct()
 
     def sets(batches):
@@ -410,18 +460,18 @@ def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction
             got, off = shingle_sets(raw)
             yield pa.RecordBatch.from_arrays([pa.array(node_ids(got, off)), pa.array([got[x:y].tobytes() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], type=pa.binary())], names=["node", "hashes"])
 
-    # Rows that repeat a doc_id may give a set twice, and a pair then too.
-    whole = materialize(texts(docs).join(if_few(materialize(source, "sources")), "doc_id").mapInArrow(sets, "node long, hashes binary"), "sets")
+    # Rows that repeat a doc_id may give a set twice.
+    return materialize(texts(docs).join(if_few(materialize(source, "sources")), "doc_id").mapInArrow(sets, "node long, hashes binary"), "sets")
+
+
+def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by their whole sets."""
+    whole = sets_of(docs, listed, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
 
     def check(batches):
         for b in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * least.denominator >= least.numerator * (len(x) + len(y) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, type=pa.int64())), b.column(1).take(pa.array(keep, type=pa.int64()))], names=["a", "b"])
+            keep = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, type=pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
 
     sided = pairs.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(whole.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return sided.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()

@@ -117,6 +117,46 @@ def test_near_copies_link(spark, sf_dir, docs_rows):
     assert len({w[2] for w in want}) < len(want)
 
 
+@pytest.mark.parametrize("part", [4096, 50])
+def test_large_circles_of_near_copies(spark, monkeypatch, part):
+    """A few thousand near copies, many of them near the threshold, equal brute force, also where circles are cut in parts."""
+    monkeypatch.setattr(parity_join, "PART", part)
+    rng = np.random.default_rng(8)
+    base, data = [f"w{k}" for k in range(90)], []
+    for k in range(2400 if part > 1000 else 500):
+        own = list(base)
+        for x in rng.choice(90, int(rng.integers(1, 5)), replace=False):
+            own[x] = f"v{rng.integers(0, 40)}"
+        data.append((k, " ".join(own)))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for _, t in data]
+    code = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(data), len(code)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        held[k, [code[x] for x in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    link = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    component = np.arange(len(data))
+    while True:
+        new = np.where(link, component[None], len(data)).min(1)
+        if (new == component).all():
+            break
+        component = new
+    assert len(set(component)) > 20 and np.bincount(component).max() > 100
+    got = rows(parity_join.components(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == [(k, len(sets[k]), int(component[k])) for k in range(len(data))]
+
+
+def test_tasks_hold_every_pair_across_components(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "PART", 7)
+    inside = [(1, b, 100 if b < 40 else b % 9) for b in range(60)] + [(2, b, b) for b in range(5)] + [(3, b, 8) for b in range(30)]
+    got = defaultdict(list)
+    for r in parity_join.tasks(spark.createDataFrame(inside, "a long, b long, component long")).collect():
+        got[r.task].append((r.node, r.component))
+    met = {frozenset((x, y)) for t in got.values() for x, c in t for y, d in t if c != d}
+    want = {frozenset((x, y)) for a, x, c in inside for b, y, d in inside if a == b and c != d}
+    assert met == want and not any(len({c for _, c in t}) == 1 and len(t) > 30 for t in got.values())
+
+
 def test_blocks_lose_no_link():
     """Sets at the very threshold share a key, whatever their sizes."""
     rng = np.random.default_rng(4)
