@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import drop_since, materialize, written
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Large-star and small-star rounds in turn, each cut by checkpoint(), until no edge changes. A star
-    points every neighbour at the smallest one, so rows never outnumber edges and nodes, and the
-    minimum per node is a combinable aggregate: a hub is no hot task.
+    Large-star and small-star rounds in turn, each written to the shared folder, until no edge changes; a
+    round's table is dropped when the next one stands. A star points every neighbour at the smallest one, so
+    rows never outnumber edges and nodes, and the minimum per node is a combinable aggregate: a hub is no hot task.
     """
-    shared_dir(edges.sparkSession)
 
-    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
-        df = df.checkpoint()
+    def settled(df: DataFrame, drop: bool = True) -> tuple[DataFrame, tuple]:
+        mark = written()
+        df = materialize(df, "edges")
+        if drop:
+            drop_since(mark - 1, keep=1)
         return df, tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now, mark = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, mark = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), drop=False)
     for _ in range(most_rounds):
         if not mark[0]:
             break

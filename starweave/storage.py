@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one where the session sets none."""
+    """The folder that driver and executors share; a local one where the session sets none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(LOCAL_DIR)
     return LOCAL_DIR
 
@@ -31,6 +35,27 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def settled(make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What make() returns, written; all else that was written on the way is dropped."""
+    mark = len(_written)
+    out = materialize(make(), tag)
+    drop_since(mark, keep=1)
+    return out
+
+
+def written() -> int:
+    """A mark for drop_since()."""
+    return len(_written)
+
+
+def drop_since(mark: int, keep: int = 0) -> None:
+    """Drops what was written after the mark, but for the last `keep` paths."""
+    end = len(_written) - keep
+    for spark, path in _written[mark:end]:
+        drop_path(spark, path)
+    del _written[mark:end]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
