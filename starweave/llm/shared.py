@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from ..session import ship
-from ..storage import drop_path, materialize, shared_dir, shared_path
+from ..storage import drop_path, drop_since, materialize, settled, shared_dir, shared_path, written
 
-__all__ = ["connected", "drop_path", "if_few", "joined", "materialize", "parts", "shared_dir", "shared_path", "slices", "texts"]
+__all__ = ["connected", "drop_path", "drop_since", "if_few", "joined", "lean", "materialize", "parts", "release", "settled", "shared_dir", "shared_path", "slices", "texts", "written"]
 
 #: Rows up to which a narrow table (some hundred bytes a row at most) is broadcast.
 FEW = 200_000
+#: Bytes of texts after which a worker gives freed memory back.
+RELEASED = 4 << 20
 
 
 def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
@@ -32,7 +37,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def slices(batches, column: str = "text", limit: int = 8 << 20):
-    """Record batches cut so that `column` holds about `limit` bytes at most; a longer single value stays whole."""
+    """Record batches cut so that `column` holds about `limit` bytes at most; a longer single value stays whole.
+
+    Memory freed meanwhile goes back to the system every RELEASED bytes.
+    """
+    since = 0
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
@@ -43,8 +52,33 @@ def slices(batches, column: str = "text", limit: int = 8 << 20):
             while n > 1 and col.slice(start, n).nbytes > limit:
                 n = max(1, n // 2)
             yield batch.slice(start, n)
+            since += col.slice(start, n).nbytes
             start += n
+            if since >= RELEASED:
+                since = 0
+                release()
 
 
 def joined(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again, and what one step has freed counts in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run(batches, ...), a generator over a task's batches, with its freed memory given back when the task ends."""
+
+    @wraps(run)
+    def own(batches, *more):
+        try:
+            yield from run(batches, *more)
+        finally:
+            release()
+
+    return own

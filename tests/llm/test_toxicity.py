@@ -24,7 +24,7 @@ def brute(words):
         low_kinds[x[:-1]] += 1
 
     def one(s):
-        p = 1 / toxicity.FOLD
+        p = 1 / toxicity.SYMBOLS
         for n in range(1, len(s)):
             x = s[-n:]
             if x[:-1] in low_total:
