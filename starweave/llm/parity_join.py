@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .shared import connected, if_few, materialize, parts, slices, texts
+from .shared import connected, if_few, lean, materialize, parts, release, settled, slices, texts
 
 WORDS = 5
 #: Ratio of neighbouring bands of set sizes.
@@ -237,7 +237,7 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, least: Fraction) -> bool:
 
 def _split(batches):
     """Slices of at most 4096 rows, their texts as bytes."""
-    for b in slices(batches):
+    for b in slices(batches, limit=2 << 20):
         for k in range(0, b.num_rows, 4000):
             s = b.slice(k, 4000)
             yield s, s.column(1).cast(pa.binary()).to_pylist()
@@ -249,6 +249,7 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     rows = texts(docs)
     ids = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def describe(batches):
         """doc_id, node, n, sketch of each document."""
         schema = None
@@ -257,6 +258,7 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
             schema = schema or pa.schema([("doc_id", b.column(0).type), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node_ids(sets, off)), pa.array(np.diff(off)), pa.array([sketch(sets[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], type=pa.binary())], schema=schema)
 
+    @lean
     def spread(batches):
         """The keys of a batch, packed for each bucket: nodes, how many keys each has there, and the keys.
 
@@ -307,31 +309,38 @@ def components(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
         new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else again[:0]
         first = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else node
         both = np.unique(np.stack([first, node], 1)[first != node], axis=0)
+        del nodes, keys, node, key, first, order, again
+        release()
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    star = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
-    star = materialize(star, "star")
-    marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
-    large = star.groupBy("a").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {PART}")
-    large = materialize(large, "large")
-    if large.isEmpty():
-        part = None
-        inside = star.withColumn("component", F.col("b")).unionByName(star.select("a", F.col("a").alias("b"), F.col("a").alias("component")).distinct())
-    else:
-        part = connected(verify(docs, listed, materialize(thinned(star.join(large.select("a"), "a", "left_semi"), marks, least), "thinned"), least))
-        part = materialize(part, "part")
-        inside = star.select("a", "b").union(star.select("a", F.col("a").alias("b")).distinct())
-        inside = inside.join(part.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
-    rest = materialize(tasks(inside).join(marks, "node").select("task", "node", "component", "n", "sketch"), "rest")
-    suspects = materialize(by_task(rest, "n", "sketch").mapInArrow(lambda batches: suspected(batches, least), "task long, node long, component long"), "suspects")
-    whole = sets_of(docs, listed, suspects.select("node").distinct())
-    links = by_task(suspects.join(whole, "node"), "hashes").mapInArrow(lambda batches: forest(batches, least), "a long, b long")  # of components
-    joined = connected(materialize(links, "links"))
-    if part is None:
-        part = joined
-    else:
-        ends = part.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-        part = ends.unionByName(joined.join(part.select("node"), "node", "left_anti"))
+    def parted() -> DataFrame:
+        """(node, component) of all nodes with links."""
+        star = rows.mapInArrow(spread, "bucket int, data binary").groupBy("bucket").applyInArrow(lambda t: meet(t), "a long, b long").distinct()
+        star = materialize(star, "star")
+        marks = listed.groupBy("node").agg(F.max(F.struct("n", "sketch")).alias("x")).select("node", "x.n", "x.sketch")
+        large = star.groupBy("a").agg(F.count(F.lit(1)).alias("held")).where(f"held >= {PART}")
+        large = materialize(large, "large")
+        if large.isEmpty():
+            part = None
+            inside = star.withColumn("component", F.col("b")).unionByName(star.select("a", F.col("a").alias("b"), F.col("a").alias("component")).distinct())
+        else:
+            part = connected(verify(docs, listed, materialize(thinned(star.join(large.select("a"), "a", "left_semi"), marks, least), "thinned"), least))
+            part = materialize(part, "part")
+            inside = star.select("a", "b").union(star.select("a", F.col("a").alias("b")).distinct())
+            inside = inside.join(part.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+        rest = materialize(tasks(inside).join(marks, "node").select("task", "node", "component", "n", "sketch"), "rest")
+        suspects = materialize(by_task(rest, "n", "sketch").mapInArrow(lambda batches: suspected(batches, least), "task long, node long, component long"), "suspects")
+        whole = sets_of(docs, listed, suspects.select("node").distinct())
+        links = by_task(suspects.join(whole, "node"), "hashes").mapInArrow(lambda batches: forest(batches, least), "a long, b long")  # of components
+        joined = connected(materialize(links, "links"))
+        if part is None:
+            part = joined
+        else:
+            ends = part.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+            part = ends.unionByName(joined.join(part.select("node"), "node", "left_anti"))
+        return part
+
+    part = settled(parted, "part")
     least_of = listed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = part.join(least_of, "node").groupBy("component").agg(F.min("least").alias("component_id"))
     named = part.join(named, "component").select("node", "component_id")
@@ -412,6 +421,7 @@ def distinct_nodes(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(np.concatenate(([True], node[1:] != node[:-1]))))
 
 
+@lean
 def suspected(batches, least: Fraction):
     """The nodes of each task that may link with one of another component."""
     for table in map(distinct_nodes, each_task(batches)):
@@ -423,6 +433,7 @@ def suspected(batches, least: Fraction):
             yield from table.select(["task", "node", "component"]).filter(pa.array(hit)).to_batches()
 
 
+@lean
 def forest(batches, least: Fraction):
     """Links (of components) found by whole sets, of which each joins what the task's links have not joined yet."""
     for table in map(distinct_nodes, each_task(batches)):
@@ -455,6 +466,7 @@ def sets_of(docs: DataFrame, listed: DataFrame, asked: DataFrame) -> DataFrame:
     """(node, hashes) of the asked nodes, each read from one document."""
     source = listed.groupBy("node").agg(F.max("doc_id").alias("doc_id")).join(asked, "node").select("doc_id").distinct()
 
+    @lean
     def sets(batches):
         for b, raw in _split(batches):
             got, off = shingle_sets(raw)
@@ -468,6 +480,7 @@ def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction
     """The pairs (a, b) of nodes whose sets are similar enough, by their whole sets."""
     whole = sets_of(docs, listed, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
 
+    @lean
     def check(batches):
         for b in batches:
             keep = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -479,6 +492,6 @@ def verify(docs: DataFrame, listed: DataFrame, pairs: DataFrame, least: Fraction
 
 def one_of_each(docs: DataFrame, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs less those whose component holds a smaller doc_id."""
-    gone = components(docs, least).where("doc_id <> component_id").select(F.col("doc_id").alias("near_id")).distinct()
-    gone = if_few(materialize(gone, "near"))
+    gone = settled(lambda: components(docs, least).where("doc_id <> component_id").select(F.col("doc_id").alias("near_id")).distinct(), "near")
+    gone = if_few(gone)
     return docs.join(gone, F.col("doc_id") == F.col("near_id"), "left_anti")

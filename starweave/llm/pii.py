@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import if_few, materialize, texts
+from .shared import if_few, materialize, settled, texts
 
 #: Kinds in the order of the results. Fixed values.
 KINDS = ("email", "ip", "card", "phone")
@@ -134,9 +134,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; rows that repeat a doc_id are told apart by their text."""
-    spans = find(docs.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("digest")))).where("size(all) > 0")
-    spans = spans.groupBy("doc_id").agg(F.first("all").alias("pii_all")).select(F.col("doc_id.id").alias("pii_id"), F.col("doc_id.digest").alias("pii_digest"), "pii_all")
-    spans = if_few(materialize(spans, "redact"))
+
+    def told() -> DataFrame:
+        spans = find(docs.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("digest")))).where("size(all) > 0")
+        return spans.groupBy("doc_id").agg(F.first("all").alias("pii_all")).select(F.col("doc_id.id").alias("pii_id"), F.col("doc_id.digest").alias("pii_digest"), "pii_all")
+
+    spans = if_few(settled(told, "redact"))
     own = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("pii_id")) & (own == F.col("pii_digest")), "left")
     # Spans by start; one that begins inside the one before is part of it.
