@@ -1,25 +1,30 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base spans (email, ip, card, phone) are found by patterns that scan a text in linear time; offsets come
-from the pieces between matches. These seeds induce lexical patterns, the words left and right of them.
-Patterns and the instances seen in them (seeds and other tokens with digits or an at sign) form a graph
-that is scored in rounds: a pattern is as good as the instances it holds, an instance as good as its
-patterns. Tokens that are no seeds but stand in high-confidence patterns are reported under the pattern's
-kind beside the base spans. Everything is DataFrame and SQL functions.
-
-Null and empty texts have no spans. Repeated rows each give a row; an empty table gives none. Only doc_id
-and text are read. Offsets are code points, ends exclusive.
+from the pieces between matches. Secrets, runs of 32 or more letters and digits mixed, are seeds as well. The seeds
+induce lexical patterns: the word left of them, the last two or three words, the word right of them, and both
+neighbours. Patterns and the instances seen in them (seeds, and other tokens with digits or an at sign) form a graph
+that is scored in rounds: a pattern is as good as the instances it holds, an instance as good as its patterns.
+Rounds end when no pattern is gained or lost. Tokens that are no seeds but stand in high-confidence patterns
+are reported under the pattern's kind beside the seeds. Everything is DataFrame and SQL functions.
+
+A seed's neighbours are those of the tokens it begins and ends in, so seeds and other tokens see a context alike:
+whole words, up to the next token that holds a digit or an at sign. What lies within a text is matched by
+sorting its few tokens and seeds, never by comparing all of them. Null and empty texts have no spans. Repeated rows
+each give a row; an empty table gives none. Only doc_id and text are read. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import if_few, materialize, settled, texts
 
 #: Kinds in the order of the results. Fixed values.
 KINDS = ("email", "ip", "card", "phone")
+#: All seeds: found like the base, but not part of it.
+SEEDS = (*KINDS, "secret")
 #: The same matches as the plain patterns (leftmost, not overlapping), but starting only where a run of
 #: the first class starts or the match before ended, and without giving back, so that long runs stay linear.
 BASE = {
@@ -27,13 +32,10 @@ BASE = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32,}+",
 }
 #: Tokens that may be identifiers.
 TOKEN = r"(?<![^\s])(?=[^\s0-9@]*+[0-9@])\S++"
-#: Code points of context looked at on either side.
-REACH = 48
-
-
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -42,14 +44,14 @@ def quoted(pattern: str) -> str:
 RUN = 256
 
 
-def located(pattern: str, gate: str) -> Column:
-    """Matches as an array of (s, e, t, l, r): offsets, text, last word before and first word after."""
+def located(pattern: str, gate: str, context: bool = False) -> Column:
+    """Matches as an array of (s, e, t): offsets and text; with context also l, up to three words before, and r, the word after."""
     p = quoted(pattern)
-    cut, last, first = f"split(text, {p}, -1)", quoted(r"(\S+)\s*$"), quoted(r"^\s*(\S+)")
-    item = "struct<s: int, e: int, t: string, l: string, r: string>"
-    one = f"""struct(
-        a.p + length(x.b) as s, a.p + length(x.b) + length(x.m) as e, x.m as t,
-        lower(regexp_extract(right(x.b, {REACH}), {last}, 1)) as l, lower(regexp_extract(left(x.n, {REACH}), {first}, 1)) as r)"""
+    cut = f"split(text, {p}, -1)"
+    item = "struct<s: int, e: int, t: string, l: string, r: string>" if context else "struct<s: int, e: int, t: string>"
+    flat = "translate({0}, '\\t\\n\\r\\f', '    ')"
+    more = f", lower(substring_index(rtrim({flat.format('x.b')}), ' ', -3)) as l, lower(substring_index(ltrim({flat.format('x.n')}), ' ', 1)) as r" if context else ""
+    one = f"struct(a.p + length(x.b) as s, a.p + length(x.b) + length(x.m) as e, x.m as t{more})"
     return F.expr(f"""
       case when {gate} then
         aggregate(
@@ -74,62 +76,110 @@ VALID = {
         cast(substring(reverse(left(regexp_replace(x.t, '[ -]', ''), 19)), i, 1) as int) * (2 - i % 2) -
         case when i % 2 = 0 and cast(substring(reverse(left(regexp_replace(x.t, '[ -]', ''), 19)), i, 1) as int) > 4 then 9 else 0 end) % 10 = 0""",
     "phone": "length(regexp_replace(x.t, '[^0-9]', '')) between 8 and 15",
+    "secret": "length(regexp_replace(x.t, '[^0-9]', '')) >= 8 and length(regexp_replace(x.t, '[^A-Za-z]', '')) >= 4",
+}
+
+
+def seeds_and_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a number of the row), an array for each kind of seeds, and all tokens."""
+    gates = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0"}
+    rows = texts(docs).withColumns({f"raw_{k}": located(p, gates.get(k, f"text rlike {quoted(p)}")) for k, p in BASE.items()} | {"token": located(TOKEN, "text rlike '[0-9@]'", context=True)})
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "token", *(F.expr(f"filter(raw_{k}, x -> {VALID[k]})").alias(k) for k in SEEDS))
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """(row, kind, s, e, t, l, r): seeds, with the context of the tokens they begin and end in, and tokens (kind null) outside them."""
+    token = found.select("row", F.explode("token").alias("x")).select("row", F.lit(None).cast("string").alias("kind"), "x.s", "x.e", "x.t", "x.l", "x.r", F.col("x.s").alias("place"), F.lit(0).alias("side"))
+    seed = None
+    for k in SEEDS:
+        own = found.select("row", F.explode(k).alias("x")).select("row", F.lit(k).alias("kind"), "x.s", "x.e", "x.t")
+        seed = own if seed is None else seed.unionAll(own)
+    none = F.lit(None).cast("string")
+    begins = seed.select("*", none.alias("l"), none.alias("r"), F.col("s").alias("place"), F.lit(1).alias("side"))
+    ends = seed.select("*", none.alias("l"), none.alias("r"), (F.col("e") - 1).alias("place"), F.lit(2).alias("side"))
+    line = Window.partitionBy("row").orderBy("place", "side")
+    before, after = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
+    every = token.unionAll(begins).unionAll(ends).select(
+        "*",
+        F.last("l", True).over(before).alias("left"),
+        F.last("r", True).over(before).alias("right"),
+        F.max(F.expr("case when side = 1 then e end")).over(before).alias("covered"),
+        F.min(F.expr("case when side > 0 then s end")).over(after).alias("next"),
+    )
+    bare = every.where("side = 0 and coalesce(covered <= s, true) and coalesce(next >= e, true)").select("row", "kind", "s", "e", "t", "l", "r")
+    of_begin = every.where("side = 1").select("row", "kind", "s", "e", "t", F.col("left").alias("l"))
+    of_end = every.where("side = 2").select("row", "kind", "s", "e", F.col("right").alias("r"))
+    return bare.unionByName(of_begin.join(of_end, ["row", "kind", "s", "e"]).select(bare.columns))
+
+
+#: Patterns of one occurrence, by what they look at.
+FORMS = {
+    "left": "substring_index(l, ' ', -1)",
+    "left two": "case when instr(l, ' ') > 0 then substring_index(l, ' ', -2) end",
+    "left three": "case when l like '% % %' then l end",
+    "right": "r",
+    "both": "case when l <> '' and r <> '' then concat(substring_index(l, ' ', -1), ' _ ', r) end",
 }
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the row), one array for each kind, and tokens outside the base spans."""
-    rows = texts(docs)
-    rows = rows.withColumns({f"raw_{k}": located(p, "instr(text, '@') > 0" if k == "email" else "instr(text, '+') > 0" if k == "phone" else f"text rlike {quoted(p)}") for k, p in BASE.items()} | {"raw_token": located(TOKEN, "text rlike '[0-9@]'")})
-    rows = rows.select("doc_id", "raw_token", *(F.expr(f"filter(raw_{k}, x -> {VALID[k]})").alias(k) for k in KINDS))
-    inside = " or ".join(f"exists({k}, y -> y.s < x.e and x.s < y.e)" for k in KINDS)
-    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), *KINDS, F.expr(f"filter(raw_token, x -> not ({inside}))").alias("token"))
+def patterned(seen: DataFrame) -> DataFrame:
+    """A row for each occurrence and each of its patterns."""
+    each = F.explode(F.array(*(F.struct(F.lit(form).alias("form"), F.expr(how).alias("words")) for form, how in FORMS.items()))).alias("x")
+    return seen.select("*", each).select(*seen.columns, "x.form", "x.words").where("words <> ''")
 
 
 def confident(seen: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
-    """High-confidence patterns (l, r, kind) of the graph between patterns and instances.
+    """High-confidence patterns (form, words, kind) of the graph between patterns and instances.
 
-    seen: (kind or null, t, l, r), a row for each occurrence.
+    seen: (kind or null, t, form, words), a row for each occurrence and pattern.
     """
     # A seed has score 1 for its kind in round one. Pattern: mean score of its instances, with one doubtful
     # instance added; instance: the chance that not all its patterns are wrong.
-    edges = materialize(seen.groupBy("l", "r", "t").agg(F.max("kind").alias("kind")), "edges")
-    seeds = edges.where("kind is not null").groupBy("t", "kind").agg(F.lit(1.0).alias("score"))
-    size = edges.groupBy("l", "r").agg(F.count(F.lit(1)).alias("size"))
-    scored = seeds
-    for k in range(rounds):
-        held = edges.drop("kind").join(scored, "t").groupBy("l", "r", "kind").agg(F.sum("score").alias("held"), F.sum(F.expr("cast(score >= 1 as int)")).alias("support"))
-        patterns = materialize(held.join(size, ["l", "r"]).select("l", "r", "kind", (F.col("held") / (F.col("size") + 1)).alias("score"), "support"), "patterns")
-        if k + 1 < rounds:
-            other = edges.where("kind is null").select("l", "r", "t").join(patterns.where(F.col("support") >= support), ["l", "r"])
-            scored = seeds.unionByName(other.groupBy("t", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))).alias("score")))
-    return patterns.where((F.col("score") >= least) & (F.col("support") >= support)).groupBy("l", "r").agg(F.max(F.struct("score", "kind")).getField("kind").alias("kind"))
-
-
-def find(docs: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 5) -> DataFrame:
-    """Per row: doc_id, row, base and all: arrays of (k: kind's rank, s, e) in order."""
-    found = materialize(base_spans(docs), "spans")
-    seeds = [found.select(F.lit(k).alias("kind"), F.explode(k).alias("x")) for k in KINDS]
-    seen = found.select(F.lit(None).cast("string").alias("kind"), F.explode("token").alias("x"))
-    for s in seeds:
-        seen = seen.unionByName(s)
-    patterns = confident(seen.select("kind", "x.t", "x.l", "x.r"), rounds, least, support)
-    tokens = found.select("row", F.explode("token").alias("x")).select("row", "x.s", "x.e", "x.l", "x.r")
-    new = tokens.join(patterns, ["l", "r"]).select("row", F.struct(F.expr("array_position(array('email', 'ip', 'card', 'phone'), kind)").cast("int").alias("k"), "s", "e").alias("x"))
-    new = new.groupBy("row").agg(F.collect_list("x").alias("new"))  # tokens of one text
-    base = F.concat(*(F.expr(f"transform({k}, x -> struct({i + 1} as k, x.s as s, x.e as e))") for i, k in enumerate(KINDS)))
-    rows = found.select("doc_id", "row", base.alias("base")).join(new, "row", "left")
-    return rows.select("doc_id", "row", "base", F.expr("case when new is null then base else array_sort(concat(base, new)) end").alias("all"))
+    key = ["form", "words"]
+    edges = materialize(seen.groupBy(*key, "t").agg(F.max("kind").alias("kind")), "edges")
+    seeds = edges.where("kind is not null").select("t", "kind", F.lit(1.0).alias("score")).distinct()
+    size = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+    scored, last = seeds, None
+    for _ in range(rounds):
+        held = edges.drop("kind").join(scored, "t").groupBy(*key, "kind").agg(F.sum("score").alias("held"), F.sum(F.expr("cast(score >= 1 as int)")).alias("support"))
+        held = held.where(F.col("support") >= support).join(size, key).select(*key, "kind", (F.col("held") / (F.col("size") + 1)).alias("score"))
+        patterns = materialize(held, "patterns")
+        good = patterns.where(F.col("score") >= least)
+        mark = tuple(good.agg(F.count(F.lit(1)), F.sum(F.hash(*key, "kind").cast("long"))).first())
+        if mark == last or not mark[0]:
+            break
+        last = mark
+        other = edges.where("kind is null").select(*key, "t").join(patterns, key)
+        scored = seeds.unionByName(other.groupBy("t", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("score")))))).alias("score")))
+    return good.groupBy(*key).agg(F.max(F.struct("score", "kind")).alias("x")).select(*key, "x.score", "x.kind")
+
+
+def find(docs: DataFrame, rounds: int = 10, least: float = 0.8, support: int = 5) -> DataFrame:
+    """Per row: doc_id, row, base, secrets and all: arrays of (k: kind's rank, s, e) in order."""
+    found = materialize(seeds_and_tokens(docs), "spans")
+    seen = materialize(patterned(occurrences(found)), "seen")
+    patterns = confident(seen.select("kind", "t", "form", "words"), rounds, least, support)
+    new = seen.where("kind is null").drop("kind").join(patterns, ["form", "words"]).groupBy("row", "s", "e").agg(F.max(F.struct("score", "kind")).getField("kind").alias("kind"))
+    rank = F.expr(f"array_position(array({', '.join(map(repr, SEEDS))}), kind)").cast("int")
+    new = new.groupBy("row").agg(F.collect_list(F.struct(rank.alias("k"), "s", "e")).alias("new"))  # tokens of one text
+    ranked = [F.expr(f"transform({k}, x -> struct({i + 1} as k, x.s as s, x.e as e))") for i, k in enumerate(SEEDS)]
+    rows = found.select("doc_id", "row", F.concat(*ranked[: len(KINDS)]).alias("base"), ranked[-1].alias("secrets")).join(new, "row", "left")
+    return rows.select("doc_id", "row", "base", "secrets", F.expr("array_sort(concat(base, secrets, coalesce(new, cast(array() as array<struct<k: int, s: int, e: int>>))))").alias("all"))
+
+
+#: The kinds as an SQL array, and a span's kind.
+NAMES = f"array({', '.join(map(repr, SEEDS))})"
 
 
 def spelled(spans: str) -> Column:
-    return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', element_at(array('email', 'ip', 'card', 'phone'), x.k), x.s, x.e)), ',')")
+    return F.expr(f"array_join(transform({spans}, x -> concat_ws(':', element_at({NAMES}, x.k), x.s, x.e)), ',')")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_secret, n_spans (all)."""
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i + 1})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return find(docs).select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("all").alias("spans"))
+    more = [F.size("secrets").cast("long").alias("n_secret"), F.size("all").cast("long").alias("n_spans")]
+    return find(docs).select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("all").alias("spans"), *more)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -143,9 +193,9 @@ def redact(docs: DataFrame) -> DataFrame:
     own = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("pii_id")) & (own == F.col("pii_digest")), "left")
     # Spans by start; one that begins inside the one before is part of it.
-    text = F.expr("""
+    text = F.expr(f"""
       case when pii_all is null then text else
         aggregate(array_sort(transform(pii_all, x -> struct(x.s as s, -x.e as e, x.k as k))), struct(0 as p, '' as o),
-          (a, x) -> case when x.s < a.p then a else struct(-x.e as p, concat(a.o, substring(text, a.p + 1, x.s - a.p), '[', upper(element_at(array('email', 'ip', 'card', 'phone'), x.k)), ']') as o) end,
+          (a, x) -> case when x.s < a.p then a else struct(-x.e as p, concat(a.o, substring(text, a.p + 1, x.s - a.p), '[', upper(element_at({NAMES}, x.k)), ']') as o) end,
           a -> concat(a.o, substring(text, a.p + 1))) end""")
     return rows.withColumn("text", text).select(docs.columns)

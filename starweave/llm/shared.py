@@ -6,17 +6,22 @@ import ctypes
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from ..session import ship
 from ..storage import drop_path, drop_since, materialize, settled, shared_dir, shared_path, written
 
-__all__ = ["connected", "drop_path", "drop_since", "if_few", "joined", "lean", "materialize", "parts", "release", "settled", "shared_dir", "shared_path", "slices", "texts", "written"]
+__all__ = ["connected", "drop_path", "drop_since", "filter_of", "if_few", "joined", "lean", "materialize", "parts", "probed", "release", "settled", "shared_dir", "shared_path", "slices", "texts", "written"]
 
 #: Rows up to which a narrow table (some hundred bytes a row at most) is broadcast.
 FEW = 200_000
+#: Bits of a filter for each key, and bits in one row of it (what Spark's bitmaps hold).
+BITS = 16
+ROW = 32768
+#: Rows of a filter (4 KB each) up to which it is broadcast; a larger one is joined by a shuffle.
+FEW_ROWS = 8192
 #: Bytes of texts after which a worker gives freed memory back.
 RELEASED = 4 << 20
 
@@ -26,6 +31,25 @@ def if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def cell(key: str, size: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(size))
+
+
+def filter_of(keys: DataFrame, key: str = "digest") -> tuple[DataFrame, int]:
+    """Rows (at, bits) of a bitmap over the places of all keys, and how many places there are."""
+    size = max(ROW, BITS * keys.count())
+    rows = keys.select(cell(key, size).alias("x")).select(F.expr(f"x div {ROW}").alias("at"), F.expr(f"x % {ROW}").alias("x"))
+    return materialize(rows.groupBy("at").agg(F.bitmap_construct_agg("x").alias("bits")), "filter"), size
+
+
+def probed(rows: DataFrame, bitmap: DataFrame, size: int, key: str = "digest") -> DataFrame:
+    """The rows whose key the filter may hold: all that it holds, and about one in BITS of the others."""
+    bitmap = if_few(bitmap, FEW_ROWS)
+    named = rows.withColumn("place", cell(key, size)).withColumn("at", F.expr(f"place div {ROW}"))
+    held = F.expr(f"(shiftright(cast(conv(hex(substring(bits, cast((place % {ROW}) div 8 + 1 as int), 1)), 16, 10) as int), cast(place % 8 as int)) & 1) = 1")
+    return named.join(bitmap, "at").where(held).select(rows.columns)
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

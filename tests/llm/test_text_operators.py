@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from starweave.llm import exact_dedup, packing, parity_join, pii, queries, repeats, sentence_pieces, token_output, toxicity
+from starweave.llm import exact_dedup, packing, parity_join, pii, queries, repeats, sentence_pieces, shared, token_output, toxicity
 from tokenizers import Tokenizer
 
 
@@ -52,11 +52,38 @@ def test_index_grows_by_flushes(spark, docs_rows):
     df = spark.createDataFrame(docs_rows, "doc_id long, text string")
     index = exact_dedup.MergeIndex(spark)
     index.add(df.where("doc_id < 30")), index.add(df.where("doc_id >= 30"))
-    assert index.compact().agg(F.sum("n")).first()[0] == len(docs_rows)
+    merged = index.compact()
+    assert index.flushed == 32 and index.runs(1).select("run").distinct().count() == 4 and index.runs(2).select("run").distinct().count() == 1
+    want = {(r[4], r[1], r[2]) for r in brute.keepers(docs_rows)}
+    assert {(r.digest.hex(), r.largest, r.n) for r in merged.collect()} == want
     one = index.runs().where("doc_id = 4").first().digest
     assert {r.doc_id for r in index.lookup([bytes(one)]).collect()} == {4, 6}
 
 
+def test_a_second_batch_is_probed_against_compacted_runs(spark, docs_rows):
+    df = spark.createDataFrame(docs_rows, "doc_id long, text string")
+    index = exact_dedup.MergeIndex(spark)
+    index.add(df.where("doc_id < 30"))
+    bitmap, size = shared.filter_of(index.compact())
+    late = df.where("doc_id >= 30").select("doc_id", exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("digest"))
+    held = {(t or "") for i, t in docs_rows if i < 30}
+    known = {i for i, t in docs_rows if i >= 30 and (t or "") in held}
+    passed = {r.doc_id for r in shared.probed(late, bitmap, size).collect()}
+    assert known <= passed and len(passed - known) < 5
+    many = spark.range(200_000).select(exact_dedup.sha256(F.col("id").cast("string")).alias("digest"), "id")
+    bitmap, size = shared.filter_of(many.where("id < 100000"))
+    assert shared.probed(many, bitmap, size).where("id < 100000").count() == 100_000
+    assert shared.probed(many, bitmap, size).where("id >= 100000").count() < 10_000
+
+
+def test_one_row_of_each_text_stays(spark, docs_rows):
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(docs_rows)], "doc_id long, text string, more long")
+    got = exact_dedup.deduplicate(df)
+    assert got.columns == df.columns
+    want = {(t or ""): max(i for i, x in docs_rows if (x or "") == (t or "")) for _, t in docs_rows}
+    assert sorted((r.text or "", r.doc_id) for r in got.collect()) == sorted(want.items())
+
+
 def test_pieces_are_the_library_s_and_come_back(spark, sf_dir, docs_rows, pieces):
     got = rows(queries.op3_sentence_pieces(spark, sf_dir), "doc_id", "n_ids", "ids_crc32", "round_trip")
     ids = [pieces.encode(t or "") for _, t in docs_rows]
@@ -99,6 +126,37 @@ def test_repeats_go(spark, sf_dir, docs_rows, monkeypatch):
     assert rows(repeats.remove_repeats(df, 60), *cols) == brute.removed(docs_rows, 60)
 
 
+def sharing(rows_, words):
+    """Whether a run of words occurs in another text, or in a copy."""
+    split = [(t or "").encode().split() for _, t in rows_]
+    where = defaultdict(set)
+    for (_, t), w in zip(rows_, split):
+        for k in range(len(w) - words + 1):
+            where[tuple(w[k : k + words])].add(t)
+    same = Counter(t or "" for _, t in rows_)
+    return sorted((i, any(len(where[tuple(w[k : k + words])]) > 1 or same[t or ""] > 1 for k in range(len(w) - words + 1))) for (i, t), w in zip(rows_, split))
+
+
+@pytest.mark.parametrize("words", [51, 9])
+def test_shared_passages_are_told(spark, docs_rows, words):
+    df = spark.createDataFrame(docs_rows, "doc_id long, text string")
+    want = sharing(docs_rows, words)
+    assert rows(repeats.remove_repeats(df, 400, words), "doc_id", "shares_passage") == want
+    assert 10 < sum(x for _, x in want) < len(want)
+
+
+def test_shared_passages_of_any_place_and_length(spark):
+    """Runs one word short of the limit are left alone, runs of just the limit are caught, wherever they lie."""
+    rng = np.random.default_rng(9)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    data = []
+    for k in range(120):
+        run = some(50 + k % 3)
+        data += [(2 * k, " ".join(some(int(rng.integers(0, 90))) + run + some(int(rng.integers(0, 90))))), (2 * k + 1, "\n".join(some(int(rng.integers(0, 90))) + run + some(int(rng.integers(0, 90)))))]
+    got = dict(rows(repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), 400), "doc_id", "shares_passage"))
+    assert [got[i] for i, _ in data] == [(i // 2) % 3 > 0 for i, _ in data]
+
+
 def test_repeats_in_texts_cut_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(2)
     part = "".join(rng.choice(list("abcdef"), 3000))
@@ -203,6 +261,61 @@ def test_context_finds_unseen_identifiers(spark):
     assert red[100] == "please reach [EMAIL] today" and red[3] == "please reach [EMAIL] today for 3" and red[101] == data[-1][1]
 
 
+def test_cues_on_one_side_find_planted_identifiers(spark):
+    """Of planted contexts every unseen identifier is found, and no token elsewhere."""
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("lo", "mi", "ta", "ru", "se") for b in ("nor", "vel", "dan", "pik", "sut")]
+    some = lambda n: " ".join(rng.choice(words, n))
+    data, planted = [], {}
+    for k in range(60):
+        data.append((k, f"{some(4)} write to: person{k}@mail{k % 7}.example.com {some(5)} dial number +1 415 555 {1000 + k} {some(3)} lot {k}x {some(2)}"))
+    for k in range(60, 75):
+        text = f"{some(3)} write to: box{k}.at.home {some(4)} dial number 0800-{k}-CALL {some(2)} lot {k}y {some(2)}"
+        data.append((k, text))
+        planted[k] = {f"{kind}:{text.index(t)}:{text.index(t) + len(t)}" for kind, t in (("email", f"box{k}.at.home"), ("phone", f"0800-{k}-CALL"))}
+    data.append((80, 'key = "' + "0a1b" * 10 + '" here'))
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = {k: set(got[k].spans.split(",")) for k in planted}
+    assert found == planted
+    assert all(got[k].n_spans == 2 and got[k].n_email == got[k].n_phone == 1 for k in range(60))
+    assert got[80].spans == "secret:7:47" and got[80].n_secret == 1 and got[80].base_sha256 == brute.personal("")[1]
+
+
+def test_scores_of_patterns_are_those_of_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    rows_ = []
+    for _ in range(3000):
+        t = int(rng.integers(0, 250))
+        kind = ["email", "phone", None][t % 3 if t < 150 else 2]
+        rows_.append((kind, f"t{t}", "left", f"w{int(rng.integers(0, 6)) * 3 + (t % 3 if rng.random() < 0.97 else int(rng.integers(0, 3)))}"))
+    edges = {(w, t): kind for kind, t, _, w in rows_}
+    seeds = {(t, kind): 1.0 for (_, t), kind in edges.items() if kind}
+    size = Counter(w for w, _ in edges)
+    scored, last = dict(seeds), None
+    for _ in range(10):
+        held, support = defaultdict(float), Counter()
+        for (w, t), _ in edges.items():
+            for kind in ("email", "phone"):
+                if (t, kind) in scored:
+                    held[w, kind] += scored[t, kind]
+                    support[w, kind] += scored[t, kind] >= 1
+        patterns = {(w, kind): v / (size[w] + 1) for (w, kind), v in held.items() if support[w, kind] >= 5}
+        good = {x for x, v in patterns.items() if v >= 0.5}
+        if good == last:
+            break
+        last, wrong = good, defaultdict(lambda: 1.0)
+        for (w, t), kind in edges.items():
+            for (p, k), v in patterns.items():
+                if p == w and not kind:
+                    wrong[t, k] *= max(1e-6, 1 - v)
+        scored = seeds | {x: 1 - v for x, v in wrong.items()}
+    got = {(r.words, r.kind): r.score for r in pii.confident(spark.createDataFrame(rows_, "kind string, t string, form string, words string"), 10, 0.5, 5).collect()}
+    best = {}
+    for w, kind in good:
+        best[w] = max(best.get(w, (0, "")), (patterns[w, kind], kind))
+    assert len(best) > 2 and got == pytest.approx({(w, kind): v for w, (v, kind) in best.items()})
+
+
 def test_packing_is_whole_and_tight(spark, sf_dir, docs_rows, bpe):
     got = queries.op7_packing(spark, sf_dir).collect()
     want = Counter()
