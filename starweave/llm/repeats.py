@@ -13,6 +13,11 @@ symbols. Work is linear in the bytes; no pairs are formed. Rounds go through shu
 bucket, so a task holds one bucket, of bounded size; a minimizer with more than HOT different segments is
 taken string by string through a combinable count of their 128-bit digests instead.
 
+Passages shorter than `length` that different documents share are not removed, but told: shared_passages() finds
+the texts that share a run of `words` words with another document. Windows of so many words are known by the least
+hash of WORDS words in them; where one occurs in different texts, windows are compared by 128-bit digests: first
+those that begin or end with it, then all windows of the minimizers of texts that are not caught yet.
+
 Strings are judged on the input; every covered byte goes. Null and empty texts, and texts shorter than
 `length`, lose nothing. Rows that repeat doc_id and text are occurrences of their own and get equal
 results. An empty table gives no rows. Only doc_id and text are read.
@@ -27,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_path, materialize, shared_path, slices, texts
+from .parity_join import ODD, mix
+from .shared import drop_path, filter_of, lean, materialize, probed, settled, shared_path, slices, texts
 
 GRAM = 16
 HOT = 20_000
@@ -226,13 +232,114 @@ def spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
     return live.join(materialize(found, "found"), ["mh", "sh"]).select("doc_id", "h", "start", "ranges"), owned
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (arrays of s, e in bytes) ."""
+#: Words whose hash makes a minimizer of a window of words.
+WORDS = 8
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
+    """base ** 0, 1, ... (or of its inverse) modulo 2 ** 64; base is odd."""
+    if len(found := _powers.get((base, inverse), ())) < n:
+        step = np.full(max(n, 1 << 16), pow(base, -1, 1 << 64) if inverse else base, dtype=np.uint64)
+        step[0] = 1
+        found = np.multiply.accumulate(step)
+        if n <= 4 << 20:  # those of very long texts are not kept
+            _powers[base, inverse] = found
+    return found[:n]
+
+
+def runs_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A hash of values[first:last] for each pair, which does not depend on where it lies."""
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * powers(base, len(values)), dtype=np.uint64)))
+    return mix((sums[last] - sums[first]) * powers(base, len(values) + 1, True)[first])
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of each word (bytes between white space) of the texts that lie in data between `off`."""
+    inner = (data != 32) & ((data < 9) | (data > 13))
+    begin, end = inner.copy(), inner.copy()
+    begin[1:] &= ~inner[:-1]
+    end[:-1] &= ~inner[1:]
+    cut = off[(off > 0) & (off < len(data))]
+    begin[cut] = inner[cut]
+    end[cut - 1] = inner[cut - 1]
+    first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    value = runs_hash(data.astype(np.uint64) + np.uint64(1), first, last, int(ODD[0])) + (last - first).astype(np.uint64) * ODD[1]
+    return mix(value), np.searchsorted(off, first, side="right") - 1
+
+
+def windows(b: pa.RecordBatch, words: int):
+    """Of the texts in a batch's second column: each window's text, first word, place and hash of its minimizer, and the words' hashes."""
+    col = b.column(1)
+    off = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2] or b"", dtype=np.uint8)[off[0] : off[-1]]
+    h, doc = word_hashes(data, off - off[0])
+    if len(h) < words:
+        return *(np.zeros(0, dtype=np.int64) for _ in range(3)), h[:0], h
+    at = np.arange(len(h) - WORDS + 1)
+    gram = runs_hash(h, at, at + WORDS, int(ODD[2]))
+    low = np.uint64((1 << PLACE) - 1)
+    least = (sliding_least((gram & ~low) | at.astype(np.uint64), words - WORDS + 1) & low).astype(np.int64)
+    first = np.flatnonzero(doc[: len(least)] == doc[words - 1 :])
+    return doc[first], first, least[first], gram[least[first]], h
+
+
+def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """The texts (h) of docs(h, text) that share a run of `words` words with another text, or have that many and a copy."""
+    whole = docs.select("h", "text")
+
+    @lean
+    def minimizers(batches):
+        for b in slices(batches, limit=2 << 20):
+            doc, _, at, mh, _ = windows(b, words)
+            new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))) if len(doc) else doc
+            new = new[np.lexsort((mh[new], doc[new]))]
+            new = new[np.concatenate(([True], (doc[new[1:]] != doc[new[:-1]]) | (mh[new[1:]] != mh[new[:-1]])))] if len(new) else new
+            yield pa.RecordBatch.from_arrays([pa.array(mh[new].view(np.int64)), b.column(0).take(pa.array(doc[new]))], names=["mh", "h"])
+
+    @lean
+    def digests(batches, ends: bool):
+        """Digests of the windows of each text's listed minimizers; ends: of those that begin or end with them."""
+        for b in slices(batches, limit=2 << 20):
+            doc, first, place, mh, h = windows(b, words)
+            begin = np.searchsorted(doc, np.arange(b.num_rows + 1))
+            keep = [np.arange(x, y)[np.isin(mh[x:y].view(np.int64), np.asarray(b.column(2)[k].values))] for k, (x, y) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True))]
+            keep = np.concatenate(keep)
+            if ends:
+                keep = keep[(first[keep] == place[keep]) | (first[keep] + words == place[keep] + WORDS)]
+            at = first[keep]
+            one, two = (runs_hash(h, at, at + words, int(ODD[k])).view(np.int64) for k in (3, 4))
+            for x in range(0, len(at), 100_000):
+                s = slice(x, x + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), b.column(0).take(pa.array(doc[keep[s]]))], names=["one", "two", "h"])
+
+    def met(asked: DataFrame, ends: bool, tag: str) -> DataFrame:
+        """The texts of which a window occurs in another text."""
+        rows = materialize(asked.select("h", "text", "live").mapInArrow(lambda batches: digests(batches, ends), "one long, two long, h long"), tag)
+        again = rows.groupBy("one", "two").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("one", "two")
+        return rows.join(materialize(again, "again"), ["one", "two"], "left_semi").select("h").distinct()
+
+    def found() -> DataFrame:
+        held = materialize(whole.mapInArrow(minimizers, "mh long, h long"), "minimizers")
+        live = held.groupBy("mh").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("mh")
+        # Written first, so that the join stands alone over its exchanges and a hot minimizer's rows can be split.
+        pairs = materialize(held.join(materialize(live, "live"), "mh").distinct(), "pairs")
+        of_text = lambda p: p.groupBy("h").agg(F.collect_list("mh").alias("live"))
+        named = probed(whole, *filter_of(pairs.select("h").distinct(), "h"), "h").join(of_text(pairs), "h").dropDuplicates(["h"])
+        named = materialize(named, "named")
+        caught = materialize(met(named, True, "ends"), "caught")
+        left = materialize(pairs.join(caught, "h", "left_anti").select("mh").distinct(), "left")
+        late = met(named.drop("live").join(of_text(pairs.join(left, "mh")), "h"), False, "windows")
+        copies = docs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(held.select("h").distinct(), "h").select("h")
+        return caught.union(late).union(copies).distinct()
+
+    return settled(found, "passages")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage (a run of `words` words occurs in another row too), spans (arrays of s, e in bytes)."""
     rows = texts(docs).withColumn("h", F.xxhash64("text"))
-    found, owned = spans(rows, length)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    each = found.groupBy("doc_id", "h").agg(F.collect_list(F.expr("transform(ranges, x -> struct(start + x.s as s, start + x.e as e))")).alias("pieces"))  # of one text
-    each = each.select("doc_id", "h", F.sort_array(F.flatten("pieces")).alias("pieces"))
 
     def strip(batches):
         for b in slices(batches):
@@ -252,7 +359,15 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 out.append((len(raw) - len(left), len(spans_), hashlib.sha256(left).hexdigest(), spans_))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[k] for o in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))))], names=["doc_id", "h", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    lost = owned.select("doc_id", "h", "text").join(each, ["doc_id", "h"]).mapInArrow(strip, f"doc_id {ids}, h long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>").dropDuplicates(["doc_id", "h"])
+    def stripped() -> DataFrame:
+        found, owned = spans(rows, length)
+        each = found.groupBy("doc_id", "h").agg(F.collect_list(F.expr("transform(ranges, x -> struct(start + x.s as s, start + x.e as e))")).alias("pieces"))  # of one text
+        each = each.select("doc_id", "h", F.sort_array(F.flatten("pieces")).alias("pieces"))
+        lost = owned.select("doc_id", "h", "text").join(each, ["doc_id", "h"])
+        return lost.mapInArrow(strip, f"doc_id {ids}, h long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s: long, e: long>>").dropDuplicates(["doc_id", "h"])
+
+    lost = settled(stripped, "stripped")
     narrow = rows.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"))
-    out = narrow.join(lost, ["doc_id", "h"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), F.coalesce("spans", F.expr("cast(array() as array<struct<s: long, e: long>>)")).alias("spans"))
+    out = narrow.join(lost, ["doc_id", "h"], "left").join(shared_passages(rows, words).withColumn("shares_passage", F.lit(True)), "h", "left")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"), F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"), F.coalesce("spans", F.expr("cast(array() as array<struct<s: long, e: long>>)")).alias("spans"))
