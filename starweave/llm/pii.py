@@ -47,7 +47,6 @@ RUN = 256
 def located(pattern: str, gate: str, context: bool = False) -> Column:
     """Matches as an array of (s, e, t): offsets and text; with context also l, up to three words before, and r, the word after."""
     p = quoted(pattern)
-    cut = f"split(text, {p}, -1)"
     item = "struct<s: int, e: int, t: string, l: string, r: string>" if context else "struct<s: int, e: int, t: string>"
     flat = "translate({0}, '\\t\\n\\r\\f', '    ')"
     more = f", lower(substring_index(rtrim({flat.format('x.b')}), ' ', -3)) as l, lower(substring_index(ltrim({flat.format('x.n')}), ' ', 1)) as r" if context else ""
@@ -56,7 +55,8 @@ def located(pattern: str, gate: str, context: bool = False) -> Column:
       case when {gate} then
         aggregate(
           transform(
-            array(zip_with(zip_with(regexp_extract_all(text, {p}, 0), {cut}, (m, b) -> struct(m, b)), slice({cut}, 2, size({cut})), (y, n) -> struct(y.m as m, y.b as b, n as n))),
+            transform(array(split(text, {p}, -1)), cut ->
+              zip_with(zip_with(regexp_extract_all(text, {p}, 0), cut, (m, b) -> struct(m, b)), slice(cut, 2, size(cut)), (y, n) -> struct(y.m as m, y.b as b, n as n))),
             z -> transform(sequence(0, (size(z) - 1) div {RUN}), k -> slice(z, cast(k * {RUN} + 1 as int), {RUN})))[0],
           cast(struct(0 as p, array() as o) as struct<p: int, o: array<array<{item}>>>),
           (c, run) -> transform(
@@ -82,7 +82,7 @@ VALID = {
 
 def seeds_and_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, row (a number of the row), an array for each kind of seeds, and all tokens."""
-    gates = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0"}
+    gates = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0", "secret": f"text rlike '[0-9]' and text rlike {quoted(BASE['secret'])}"}
     rows = texts(docs).withColumns({f"raw_{k}": located(p, gates.get(k, f"text rlike {quoted(p)}")) for k, p in BASE.items()} | {"token": located(TOKEN, "text rlike '[0-9@]'", context=True)})
     return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "token", *(F.expr(f"filter(raw_{k}, x -> {VALID[k]})").alias(k) for k in SEEDS))
 
