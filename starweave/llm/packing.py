@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import joined, materialize, slices, texts
+from .shared import joined, lean, materialize, slices, texts
 from .words import byte_bpe, packed
 
 #: Partners tried for each length when triples are enumerated.
@@ -114,10 +114,11 @@ def plan(hist: np.ndarray) -> np.ndarray:
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the piece's task and rank among the task's pieces of its length."""
 
+    @lean
     def run(batches):
         own, end, where, seen = byte_bpe(vocabulary), packed([end_id]), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64).tolist()
         schema = None
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             rows = []
             for k, ids in enumerate(own.batch(b.column(1))):
                 ids += end
@@ -130,6 +131,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
             of, *cols = np.array(rows, dtype=np.int64).T
             schema = schema or pa.schema([("doc_id", b.column(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
             yield joined(schema, [b.column(0).take(pa.array(of)), *(pa.array(c).cast(f.type) for c, f in zip(cols, list(schema)[1:], strict=True))])
+        own.forget()  # a worker that waits holds no words
 
     return texts(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 

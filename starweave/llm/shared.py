@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import wraps
 
 import pyarrow as pa
@@ -60,10 +61,10 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def slices(batches, column: str = "text", limit: int = 8 << 20):
+def slices(batches, column: str = "text", limit: int = 8 << 20, trim: bool = True):
     """Record batches cut so that `column` holds about `limit` bytes at most; a longer single value stays whole.
 
-    Memory freed meanwhile goes back to the system every RELEASED bytes.
+    With trim, memory freed meanwhile goes back to the system every RELEASED bytes.
     """
     since = 0
     for batch in batches:
@@ -78,7 +79,7 @@ def slices(batches, column: str = "text", limit: int = 8 << 20):
             yield batch.slice(start, n)
             since += col.slice(start, n).nbytes
             start += n
-            if since >= RELEASED:
+            if trim and since >= RELEASED:
                 since = 0
                 release()
 
@@ -100,9 +101,11 @@ def lean(run):
 
     @wraps(run)
     def own(batches, *more):
+        release()  # what tasks of other steps have left
         try:
             yield from run(batches, *more)
         finally:
+            gc.collect()
             release()
 
     return own

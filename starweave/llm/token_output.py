@@ -32,7 +32,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> No
     def run(batches):
         own, end, at, where = byte_bpe(vocabulary), packed([end_id]), 0, TaskContext.get().partitionId()
         schema = None
-        for b in slices(batches):
+        for b in slices(batches, trim=False):
             out = [x + end for x in own.batch(b.column(1))]
             size = np.fromiter(map(len, out), dtype=np.int64, count=len(out)) >> 2
             ends = np.concatenate(([0], np.cumsum(size)))
