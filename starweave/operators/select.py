@@ -82,11 +82,12 @@ def under_caps(catalogue: DataFrame, caps: dict[str, float] = Z_CAPS, default: f
 
 
 def middle_slice(catalogue: DataFrame, low: float = 0.1, high: float = 0.9, narrow: float = 1e-3, least: float = 0.05) -> DataFrame:
-    """Rows between two quantiles of their tracer's redshift; a narrow range is widened on either side."""
+    """Rows between two quantiles of their tracer's redshift; a narrow range is widened about its middle."""
     q = catalogue.groupBy("tracer").agg(F.percentile("z", F.array(F.lit(low), F.lit(high))).alias("q"))
     width = F.col("q")[1] - F.col("q")[0]
-    widen = F.when(width < narrow, F.greatest(F.lit(least), width)).otherwise(0.0)
-    q = q.select("tracer", (F.col("q")[0] - widen).alias("z_low"), (F.col("q")[1] + widen).alias("z_high"))  # a row for each tracer
+    middle, reach = (F.col("q")[0] + F.col("q")[1]) / 2, F.greatest(F.lit(least), width)
+    low, high = F.when(width < narrow, middle - reach).otherwise(F.col("q")[0]), F.when(width < narrow, middle + reach).otherwise(F.col("q")[1])
+    q = q.select("tracer", low.alias("z_low"), high.alias("z_high"))  # a row for each tracer
     return catalogue.join(q, "tracer").where("z >= z_low AND z <= z_high").drop("z_low", "z_high")
 
 

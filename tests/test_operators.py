@@ -186,3 +186,11 @@ def test_release_of_files(spark, tmp_path):
     assert out.classification.count() == 40 * 2 + 80
     assert out.probability.where("abs(pvoid + psheet + pfilament + pknot - 1) < 1e-9").count() == out.probability.where("most <> '' and pvoid + psheet + pfilament + pknot > 0").count()
     assert out.groups.where("a >= b and b >= c and c >= 0").count() == out.groups.count()
+
+
+def test_a_narrow_slice_is_widened_about_its_middle(spark):
+    rows = [("a", z) for z in (0.5, 0.5002, 0.5004, 0.5491, 0.5512, 0.4489)] + [("b", k / 10) for k in range(11)]
+    rows += [("a", 0.5002)] * 60
+    got = select.middle_slice(spark.createDataFrame(rows, "tracer string, z double"))
+    assert {r.z for r in got.where("tracer = 'a'").collect()} == {0.5, 0.5002, 0.5004, 0.5491}
+    assert sorted(r.z for r in got.where("tracer = 'b'").collect()) == [k / 10 for k in range(1, 10)]
