@@ -38,11 +38,11 @@ def expected(rows, least=0.98):
     return sorted((r[0], n[k], find(r[0]), r[0] == find(r[0])) for k, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("cell", [2048, 25])
-def test_links_and_components(spark, cell):
+@pytest.mark.parametrize(("cell", "fan"), [(2048, 32), (25, 32), (12, 3)])
+def test_links_and_components(spark, cell, fan):
     rows = vectors()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n int")
-    got = sorted(tuple(r) for r in cover_tree.near_links(df, 0.98, cell).select("vec_id", "n_links", "component_id", "kept").collect())
+    got = sorted(tuple(r) for r in cover_tree.near_links(df, 0.98, cell, fan).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == expected(rows)
 
 
