@@ -100,10 +100,18 @@ def dual(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarray
             top = up
         parent[top] = parent[some] = top.min()
 
-    def all_linked(p: np.ndarray, q: np.ndarray) -> None:
-        links_a[p] += weight_b[q].sum()
-        links_b[q] += weight_a[p].sum()
-        unite(np.concatenate([p, q + shift]))
+    def all_linked(i: np.ndarray, j: np.ndarray) -> None:
+        """Balls i of a with balls j of b, each pair within the threshold as a whole; i ascends."""
+        for k, (balls, others, of, links, weight) in enumerate(((ma, mb, (i, j), links_a, weight_b), (mb, ma, (j, i), links_b, weight_a))):
+            sizes, lengths = np.array([len(m) for m in balls]), np.array([len(m) for m in others])
+            sums = np.add.reduceat(weight[np.concatenate(others)], np.cumsum(lengths) - lengths)
+            met = np.zeros(len(balls), dtype=np.int64)
+            np.add.at(met, of[0], sums[of[1]])
+            links[np.concatenate(balls)] += np.repeat(met, sizes)
+            for x in np.unique(of[0][sizes[of[0]] > 1]):
+                unite(balls[x] + k * shift)
+        for s in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+            unite(np.append(cb[j[s]] + shift, ca[i[s[0]]]))
 
     def compare(p: np.ndarray, q: np.ndarray) -> None:
         """Points against points."""
@@ -125,7 +133,7 @@ def dual(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarray
         (ca, ma, _), (cb, mb, _) = level_a, level_b
         ra = spread(ua, level_a)
         rb = ra if same else spread(ub, level_b)
-        pairs_a, pairs_b = [], []
+        pairs_a, pairs_b, whole_a, whole_b = [], [], [], []
         for p, q in live:
             for k in range(0, len(p), 1024):
                 own = p[k : k + 1024]
@@ -134,8 +142,11 @@ def dual(a: np.ndarray, b: np.ndarray | None, least: float, weight_a: np.ndarray
                 x, y = np.nonzero(far - bound <= reach + SLACK)
                 whole = far[x, y] + bound[x, y] <= reach - SLACK
                 pairs_a.append(own[x][~whole]), pairs_b.append(q[y][~whole])
-                for i, j in zip(own[x][whole], q[y][whole], strict=True):
-                    all_linked(ma[i], mb[j])
+                whole_a.append(own[x][whole]), whole_b.append(q[y][whole])
+        i, j = np.concatenate(whole_a), np.concatenate(whole_b)
+        if len(i):
+            order = np.argsort(i, kind="stable")
+            all_linked(i[order], j[order])
         pa_, pb_ = np.concatenate(pairs_a), np.concatenate(pairs_b)
         if not len(pa_):
             break
