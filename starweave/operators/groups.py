@@ -55,6 +55,47 @@ def friends(points: DataFrame, block: list[str], eps: float) -> DataFrame:
     return rows.withColumn("groupid", F.dense_rank().over(Window.partitionBy(*block).orderBy("first")) - 1)
 
 
+def fixed_lengths(points: DataFrame, block: list[str], lengths: dict[str, float] = FIXED) -> DataFrame:
+    """block..., linklen of the first version, by the tracer's first token; tracers without one are left out."""
+    name = F.substring_index(F.col("tracer").cast("string"), "_", 1)
+    own = F.create_map(*(F.lit(x) for kv in lengths.items() for x in kv))[name]
+    return points.select(*block).distinct().withColumn("linklen", own).where("linklen IS NOT NULL")
+
+
+#: Directions in which diameters() looks for a first pair.
+WAYS = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 1, -1), (1, -1, 1), (-1, 1, 1)]
+
+
+def diameters(points: DataFrame, block: list[str], side: int = 8) -> DataFrame:
+    """block..., diameter: the largest distance of two points, 0 for a single one.
+
+    The extremes in a few directions give a distance that some pair has. Only cells of a grid whose boxes
+    reach that far apart are joined, and of their points only those that do, so the inside of a cloud meets nothing.
+    """
+    key = [F.col(c).alias(c) for c in block]
+    at = F.struct(*"xyz")
+    along = [sum(w * F.col(c) for w, c in zip(way, "xyz", strict=True)) for way in WAYS]
+    apart = lambda p, q: F.sqrt(sum((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz"))
+    ends = points.groupBy(*key).agg(F.struct(*(F.min(c).alias(c) for c in "xyz")).alias("lo"), F.struct(*(F.max(c).alias(c) for c in "xyz")).alias("hi"), *(f(at, d).alias(f"e{k}{n}") for k, d in enumerate(along) for n, f in enumerate((F.min_by, F.max_by))))
+    ends = ends.select(*block, "lo", "hi", F.greatest(*(apart(F.col(f"e{k}0"), F.col(f"e{k}1")) for k in range(len(WAYS)))).alias("found"))  # a row for each block
+    index = sum(F.coalesce(F.least(F.lit(side - 1), F.floor(F.try_divide(F.col(c) - F.col("lo")[c], F.col("hi")[c] - F.col("lo")[c]) * side)), F.lit(0)) * side**k for k, c in enumerate("xyz"))
+    rows = points.select(*block, *"xyz").join(ends, block).select(*block, at.alias("at"), "found", index.cast("int").alias("cell"))
+    cells = rows.groupBy(*block, "cell").agg(*(f(F.col("at")[c]).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))
+    one, two = (cells.select(*block, F.col("cell").alias(f"cell_{k}"), F.struct(*(F.col(f"{n}{c}") for c in "xyz" for n in ("lo", "hi"))).alias(f"box_{k}")) for k in "ab")
+    reach = lambda lo, hi: sum(F.pow(F.greatest(F.abs(h(c)), F.abs(g(c))), 2) for c in "xyz" for h, g in ((lo, hi),))
+    enough = F.col("found") * F.col("found") * (1 - 1e-12)
+    boxes = reach(lambda c: F.col("box_b")[f"hi{c}"] - F.col("box_a")[f"lo{c}"], lambda c: F.col("box_a")[f"hi{c}"] - F.col("box_b")[f"lo{c}"])
+    meet = one.join(two, block).where("cell_a <= cell_b").join(ends.select(*block, "found"), block).where(boxes >= enough).drop("found")
+    sides = []
+    for k, other in (("a", "b"), ("b", "a")):
+        box = F.col(f"box_{other}")
+        near = rows.withColumnRenamed("cell", f"cell_{k}").join(meet, [*block, f"cell_{k}"])
+        far = reach(lambda c, box=box: box[f"hi{c}"] - F.col("at")[c], lambda c, box=box: F.col("at")[c] - box[f"lo{c}"])
+        sides.append(near.where(far >= enough).select(*block, "cell_a", "cell_b", F.col("at").alias(f"at_{k}")))
+    best = sides[0].join(sides[1], [*block, "cell_a", "cell_b"]).groupBy(*block).agg(F.max(apart(F.col("at_a"), F.col("at_b"))).alias("best"))
+    return ends.join(best, block, "left").select(*block, F.greatest("found", F.coalesce("best", F.lit(0.0))).alias("diameter"))
+
+
 def friends_each(points: DataFrame, block: list[str], lengths: DataFrame) -> DataFrame:
     """As friends(), with each block's own linking length; lengths(block..., linklen).
 
@@ -81,15 +122,15 @@ def axes(ixx: Column, iyy: Column, izz: Column, ixy: Column, ixz: Column, iyz: C
     return [F.sqrt(F.greatest(F.lit(0.0), v)) for v in (high, 3 * q - high - low, low)]
 
 
-def ellipsoids(members: DataFrame, keys: list[str], normalized: bool = False) -> DataFrame:
-    """keys..., npts, xcm, ycm, zcm, a >= b >= c of each group: the roots of the summed inertia tensor's eigenvalues (of the mean one if normalized)."""
+def ellipsoids(members: DataFrame, keys: list[str], normalized: bool = False, least: int = 1) -> DataFrame:
+    """keys..., npts, xcm, ycm, zcm, a >= b >= c of each group: the roots of the summed inertia tensor's eigenvalues (of the mean one if normalized); NULL axes below `least` members (2 in the first version)."""
     mid = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("npts"), *(F.avg(c).alias(f"{c}cm") for c in "xyz"))
     near = members.select(*keys, *"xyz").join(mid, keys).select(*keys, *((F.col(c) - F.col(f"{c}cm")).alias(c) for c in "xyz"))
     x, y, z = F.col("x"), F.col("y"), F.col("z")
     t = near.groupBy(*keys).agg(F.sum(y * y + z * z).alias("ixx"), F.sum(x * x + z * z).alias("iyy"), F.sum(x * x + y * y).alias("izz"), (-F.sum(x * y)).alias("ixy"), (-F.sum(x * z)).alias("ixz"), (-F.sum(y * z)).alias("iyz"))
     out = mid.join(t, keys)
     scale = F.sqrt(F.col("npts")) if normalized else F.lit(1.0)
-    a, b, c = axes(*(F.col(n) for n in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz")))
+    a, b, c = (F.when(F.col("npts") >= least, v) for v in axes(*(F.col(n) for n in ("ixx", "iyy", "izz", "ixy", "ixz", "iyz"))))
     return out.select(*keys, "npts", "xcm", "ycm", "zcm", (a / scale).alias("a"), (b / scale).alias("b"), (c / scale).alias("c"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -69,6 +70,12 @@ def block(df: DataFrame, rows: int, order: list[str], start: int = 0) -> DataFra
     return df.withColumn("_row", F.row_number().over(Window.orderBy(*order))).where((F.col("_row") > start) & (F.col("_row") <= start + rows)).drop("_row")
 
 
+def block_start(path: str, total: int, rows: int, seed: int = 0) -> int:
+    """Where a block of `rows` of `total` rows of a file begins: a draw that its path and a seed fix."""
+    own = int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "little")
+    return int(np.random.default_rng((own + seed) % 2**32).integers(0, max(0, total - rows) + 1))
+
+
 def expand(data: DataFrame, randoms: DataFrame, iterations: DataFrame) -> DataFrame:
     """Every data row in every iteration, beside the iteration's random points."""
     every = data.drop("randiter").crossJoin(F.broadcast(iterations.select("randiter"))).withColumn("isdata", F.lit(True))

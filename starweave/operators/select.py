@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +83,44 @@ def under_caps(catalogue: DataFrame, caps: dict[str, float] = Z_CAPS, default: f
     return catalogue.where((F.col("z") >= low) & (F.col("z") <= high))
 
 
+def slice_specs(specs: Iterable[str] | None) -> dict[str, tuple[float, float]]:
+    """Redshift slices by tracer of texts TRACER:low:high; only the tracer's first token counts, and limits may be given either way round."""
+    out = {}
+    for spec in specs or []:
+        if not spec.strip():
+            continue
+        tracer, *limits = (x.strip() for x in spec.split(":"))
+        if len(limits) != 2 or not tracer:
+            raise ValueError(f"{spec!r} is not TRACER:low:high")
+        low, high = sorted(map(float, limits))
+        if not math.isfinite(high - low) or math.isclose(low, high, rel_tol=1e-5, abs_tol=1e-8):
+            raise ValueError(f"the limits of {spec!r} are not finite or leave no width")
+        out[tracer.split("_")[0].upper()] = (low, high)
+    return out
+
+
+def picked(wanted: Iterable[str] | None, known: Iterable[str], aliases: dict[str, str] | None = None) -> list[str]:
+    """Tracers in the order asked for, each once, by name in any case or by alias in small letters; all where none is asked for."""
+    known = list(known)
+    if wanted is None:
+        return known
+    out = []
+    for name in map(str.strip, wanted):
+        found = next((x for x in (name, name.upper(), (aliases or {}).get(name.lower())) if x in known), None)
+        if found is None:
+            raise ValueError(f"unknown tracer {name}; known are {', '.join(known)}")
+        out.append(found)
+    return list(dict.fromkeys(out))
+
+
+def enough_members(npts: Column, tracer: Column, least: int = 0, presets: dict[str, int] = MIN_MEMBERS) -> Column:
+    """Groups large enough to be shown: of as many members as their tracer's preset and `least` ask for."""
+    own = F.lit(0)
+    for k, v in presets.items():
+        own = F.when(F.substring_index(tracer, "_", 1) == k, v).otherwise(own)
+    return npts >= F.greatest(own, F.lit(least))
+
+
 def middle_slice(catalogue: DataFrame, low: float = 0.1, high: float = 0.9, narrow: float = 1e-3, least: float = 0.05) -> DataFrame:
     """Rows between two quantiles of their tracer's redshift; a narrow range is widened about its middle."""
     q = catalogue.groupBy("tracer").agg(F.percentile("z", F.array(F.lit(low), F.lit(high))).alias("q"))
@@ -115,5 +155,19 @@ def with_coordinates(classes: DataFrame, raw: DataFrame) -> DataFrame:
     return left.join(right, ["targetid", "join_iter", "join_label"]).drop("join_iter", "join_label")
 
 
+def groups_on_raw(groups: DataFrame, raw: DataFrame, source: str = "both") -> DataFrame:
+    """Members of stored groups with their raw row, by id, label and iteration, of real data, random points or both."""
+    return groups.where(of_source(source)).join(raw.where(of_source(source)), ["targetid", "tracertype", "randiter"])
+
+
+def groups_on_raw_by_iteration(groups: DataFrame, raw: DataFrame, iteration: int = 0, source: str = "both") -> DataFrame:
+    """As groups_on_raw(), by id and iteration alone: members in `iteration` are found among real data too, unless random points alone are asked for."""
+    at = F.col("randiter")
+    if source != "rand":
+        at = F.when(at == iteration, -1).otherwise(at)
+    raw = raw.where(of_source(source)).withColumnRenamed("randiter", "join_iter")
+    return groups.withColumn("join_iter", at).join(raw, ["targetid", "join_iter"])
+
+
 def seen_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("targetid").distinct(), "targetid", "left_semi")

@@ -209,11 +209,33 @@ def zcap_filter(spark, d):
     return select.under_caps(fx.sky(spark, d), caps={"MACHINERY": 0.45}, default=1.4, slices={"BUILDING": (0.8, 0.2)}).select("targetid", "tracer", "z")
 
 
-@query(f"WITH {fx.SKY}, q AS (SELECT tracer, quantile_cont(z, 0.1) AS a, quantile_cont(z, 0.9) AS b FROM sky GROUP BY tracer) SELECT targetid, sky.tracer, z FROM sky JOIN q USING (tracer) WHERE z >= CASE WHEN b - a < 0.001 THEN a - greatest(0.05, b - a) ELSE a END AND z <= CASE WHEN b - a < 0.001 THEN b + greatest(0.05, b - a) ELSE b END")
+@query(f"WITH {fx.SKY}, q AS (SELECT tracer, quantile_cont(z, 0.1) AS a, quantile_cont(z, 0.9) AS b FROM sky GROUP BY tracer) SELECT targetid, sky.tracer, z FROM sky JOIN q USING (tracer) WHERE z >= CASE WHEN b - a < 0.001 THEN (a + b) / 2 - greatest(0.05, b - a) ELSE a END AND z <= CASE WHEN b - a < 0.001 THEN (a + b) / 2 + greatest(0.05, b - a) ELSE b END")
 def quantile_slice(spark, d):
     return select.middle_slice(fx.sky(spark, d)).select("targetid", "tracer", "z")
 
 
+# Both quantiles are the median, so every tracer's range is narrow and is widened.
+@query(f"WITH {fx.SKY}, q AS (SELECT tracer, median(z) AS m FROM sky GROUP BY tracer) SELECT targetid, sky.tracer, z FROM sky JOIN q USING (tracer) WHERE z >= m - 0.05::DOUBLE AND z <= m + 0.05::DOUBLE")
+def narrow_slice(spark, d):
+    return select.middle_slice(fx.sky(spark, d), 0.5, 0.5).select("targetid", "tracer", "z")
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"WITH {fx.SKY} SELECT targetid, tracer, z FROM sky WHERE (tracer = 'MACHINERY' AND z <= 1.4) OR (tracer = 'BUILDING' AND z BETWEEN 0.2 AND 0.8)")
+def picked_slices(spark, d):
+    names = select.picked(["machinery", "homes", "BUILDING"], SEGMENTS, {"homes": "BUILDING"})
+    rows = fx.sky(spark, d).where(F.col("tracer").isin(names))
+    return select.under_caps(rows, caps={}, default=1.4, slices=select.slice_specs(["building_new:0.8:0.2", " "])).select("targetid", "tracer", "z")
+
+
+@query(f"WITH {fx.SKY} SELECT targetid, tracer, ra::FLOAT AS ra, dec::FLOAT AS dec, z::FLOAT AS z, (targetid % 5 - 1)::SMALLINT AS randiter, CASE tracer WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 255 END::SMALLINT AS tracer_id, 2001 AS zone FROM sky")
+def narrowed_rows(spark, d):
+    rows = fx.sky(spark, d).drop("zone").withColumn("randiter", F.col("targetid") % 5 - 1)
+    return releases.narrowed(rows, 2001, {"BUILDING": 1, "MACHINERY": 2})
+
+
 @query(f"WITH {fx.POINTS}, m AS (SELECT median(x) AS mx, median(y) AS my, median(z) AS mz FROM points), c AS (SELECT pid, x - mx AS x, y - my AS y, z - mz AS z FROM points, m) SELECT pid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM c WHERE abs(x) <= 0.1 AND abs(y) <= 0.1 AND abs(z) <= 0.1")
 def cube_roi(spark, d):
     return rounded(select.cube(fx.points(spark, d), 0.2).select("pid", "x", "y", "z"), 9, "x", "y", "z")
@@ -445,6 +467,24 @@ def group_inertia(spark, d):
     return rounded(df, 6, "xcm", "ycm", "zcm", "a", "b")
 
 
+@query(f"WITH RECURSIVE {TENSOR} SELECT tracer, groupid, npts, CASE WHEN npts > 1 THEN round(sqrt(greatest(0, e1)), 6) + 0.0 END AS a, CASE WHEN npts > 1 THEN round(sqrt(greatest(0, 3*q - e1 - e3)), 6) + 0.0 END AS b, CASE WHEN npts > 3 THEN round(sqrt(greatest(0, e3)), 6) + 0.0 END AS c FROM ev4")
+def group_inertia_of_pairs_up(spark, d):
+    df = groups.ellipsoids(members(spark, d), ["tracer", "groupid"], least=2).withColumn("groupid", F.col("groupid").cast("long"))
+    # The least axis of three points or fewer is 0 but for rounding, which a root makes large.
+    return rounded(df.select("tracer", "groupid", "npts", "a", "b", F.when(F.col("npts") > 3, F.col("c")).alias("c")), 6, "a", "b", "c")
+
+
+@query(f"WITH {fx.POINTS} SELECT p.tracer, round(max(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))), 9) AS diameter FROM points p JOIN points q ON p.tracer = q.tracer GROUP BY 1")
+def max_pairwise_distance(spark, d):
+    return rounded(groups.diameters(fx.points(spark, d), ["tracer"]), 9, "diameter")
+
+
+@query(f"WITH {fx.SKY}, g AS (SELECT tracer, zone, count(*) AS npts FROM sky GROUP BY ALL) SELECT * FROM g WHERE npts >= CASE tracer WHEN 'BUILDING' THEN 12 WHEN 'MACHINERY' THEN 3 ELSE 5 END AND npts >= 5")
+def groups_of_preset_size(spark, d):
+    g = fx.sky(spark, d).groupBy("tracer", "zone").agg(F.count(F.lit(1)).alias("npts"))
+    return g.where(select.enough_members(F.col("npts"), F.col("tracer"), 5, {"BUILDING": 12, "MACHINERY": 3}))
+
+
 @query(f"WITH {fx.SKY} SELECT tracer, zone, round(median(ra), 6) AS ra, round(median(z), 6) AS z, count(*) AS npts FROM sky GROUP BY ALL")
 def group_centers(spark, d):
     return rounded(groups.centres(fx.sky(spark, d), ["tracer", "zone"]), 6, "ra", "z")
@@ -520,6 +560,24 @@ def join_class_raw(spark, d):
     return select.with_coordinates(class_rows(spark, d), raw_places(spark, d)).select("targetid", "randiter", "isdata", "xcart", "ycart")
 
 
+def group_rows(spark, d):
+    return fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("targetid"), (F.col("l_linenumber") - 2).alias("randiter"), F.concat("l_returnflag", F.lit("_RAND")).alias("tracertype"), F.col("l_suppkey").alias("groupid"))
+
+
+GR = "grp AS (SELECT l_orderkey AS targetid, l_linenumber - 2 AS randiter, l_returnflag || '_RAND' AS tracertype, l_suppkey AS groupid FROM lineitem), raw AS (SELECT o_orderkey AS targetid, (o_orderkey % 4 - 1)::INT AS randiter, ['N', 'A', 'R'][o_orderkey % 3 + 1] || '_RAND' AS tracertype, o_totalprice AS xcart FROM orders)"
+
+
+@query(f"WITH {GR} SELECT targetid, tracertype, randiter, groupid, xcart FROM grp JOIN raw USING (targetid, tracertype, randiter) WHERE randiter <> -1")
+def join_groups_raw(spark, d):
+    return select.groups_on_raw(group_rows(spark, d), raw_places(spark, d), "rand").select("targetid", "tracertype", "randiter", "groupid", "xcart")
+
+
+@query(f"WITH {GR} SELECT grp.targetid, grp.randiter, groupid, xcart FROM grp JOIN raw ON raw.targetid = grp.targetid AND raw.randiter = CASE WHEN grp.randiter = 2 THEN -1 ELSE grp.randiter END")
+def join_groups_raw_by_iteration(spark, d):
+    raw = raw_places(spark, d).drop("tracertype")
+    return select.groups_on_raw_by_iteration(group_rows(spark, d), raw, 2).select("targetid", "randiter", "groupid", "xcart")
+
+
 @query(f"WITH {fx.PROBS}, best AS (SELECT targetid, {ARGMAX} AS webtype FROM probs) SELECT p_partkey AS targetid, p_brand, webtype FROM part JOIN best ON targetid = p_partkey")
 def join_types(spark, d):
     best = probs(spark, d).select("targetid", most_probable([F.col(p) for p in P]).alias("webtype"))

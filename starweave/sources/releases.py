@@ -47,6 +47,38 @@ FIRST = Release("first", ("BGS_BRIGHT", "ELG_LOPnotqso", "LRG", "QSO"), tuple(BO
 SECOND = Release("second", ("BGS_BRIGHT", "ELG_LOPnotqso", "LRG", "QSO"), ("NGC", "SGC"), halves=("",))
 
 
+def zones_of(release: Release, wanted: str | list[str] | None = None) -> list[str]:
+    """The zones asked for, by names split by commas or blanks.
+
+    Numbered zones come in order; `all` or nothing means all of them. The boxes of the first release are shown one at a time.
+    """
+    names = (wanted if isinstance(wanted, str) else " ".join(map(str, wanted or []))).replace(",", " ").upper().split()
+    if release.boxes:
+        if len(names) != 1 or names[0] not in release.zones:
+            raise ValueError(f"one zone of {', '.join(release.zones)} is wanted")
+        return names
+    if not names or "ALL" in names:
+        return list(release.zones)
+    numbered = all(z.isdigit() for z in release.zones)
+    found = [f"{int(n):02d}" if numbered and n.isdigit() else n for n in names]
+    if unknown := [n for n in found if n not in release.zones]:
+        raise ValueError(f"unknown zones {', '.join(unknown)}; known are {', '.join(release.zones)}")
+    return sorted(set(found)) if numbered else list(dict.fromkeys(found))
+
+
+def narrowed(df: DataFrame, zone: int | None = None, tracer_ids: dict[str, int] | None = None, floats: tuple[str, ...] = ("ra", "dec", "z", "xcart", "ycart", "zcart")) -> DataFrame:
+    """Rows as the second release stores them: single precision, short iterations, the zone's number where there is none, and the tracer's number."""
+    df = df.withColumns({c: F.col(c).cast("float") for c in floats if c in df.columns})
+    if "randiter" in df.columns:
+        df = df.withColumn("randiter", F.col("randiter").cast("short"))
+    if zone is not None and "zone" not in df.columns:
+        df = df.withColumn("zone", F.lit(zone))
+    if tracer_ids:
+        known = F.create_map(*(F.lit(x) for kv in tracer_ids.items() for x in kv))
+        df = df.withColumn("tracer_id", F.coalesce(known[F.col("tracer")], F.lit(255)).cast("short"))
+    return df
+
+
 def cuts_from_json(text: str, known: dict[str, tuple] = BOXES) -> dict[str, tuple]:
     """Boxes of a configuration replace those of the same zone; unknown zones are an error."""
     cuts = dict(known)

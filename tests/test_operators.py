@@ -194,3 +194,54 @@ def test_a_narrow_slice_is_widened_about_its_middle(spark):
     got = select.middle_slice(spark.createDataFrame(rows, "tracer string, z double"))
     assert {r.z for r in got.where("tracer = 'a'").collect()} == {0.5, 0.5002, 0.5004, 0.5491}
     assert sorted(r.z for r in got.where("tracer = 'b'").collect()) == [k / 10 for k in range(1, 10)]
+
+
+def test_slice_specs_and_tracers_asked_for():
+    assert select.slice_specs([" lrg_x : 0.8:0.2", "", "QSO:1:2"]) == {"LRG": (0.2, 0.8), "QSO": (1.0, 2.0)}
+    assert select.slice_specs(None) == {}
+    for bad in ("LRG:1", ":1:2", "LRG:a:b", "LRG:nan:1", "LRG:1:inf", "LRG:1:1", "LRG:1:2:3"):
+        with pytest.raises(ValueError):
+            select.slice_specs([bad])
+    known = ["BGS_BRIGHT", "LRG", "QSO"]
+    assert select.picked(None, known) == known
+    assert select.picked(["qso", "bgs", "QSO"], known, {"bgs": "BGS_BRIGHT"}) == ["QSO", "BGS_BRIGHT"]
+    with pytest.raises(ValueError):
+        select.picked(["ELG"], known)
+
+
+def test_zones_asked_for():
+    assert releases.zones_of(releases.EARLY, "7, 3 7") == ["03", "07"]
+    assert releases.zones_of(releases.EARLY) == releases.zones_of(releases.EARLY, ["1", "all"]) == list(releases.EARLY.zones)
+    assert releases.zones_of(releases.SECOND, "sgc ngc") == ["SGC", "NGC"]
+    assert releases.zones_of(releases.FIRST, "ngc1") == ["NGC1"]
+    for release, bad in ((releases.EARLY, "20"), (releases.EARLY, "x"), (releases.SECOND, "NGC1"), (releases.FIRST, "all"), (releases.FIRST, None), (releases.FIRST, "NGC1 NGC2")):
+        with pytest.raises(ValueError):
+            releases.zones_of(release, bad)
+
+
+def test_diameters(spark):
+    rng = np.random.default_rng(4)
+    shell = rng.normal(size=(300, 3))
+    shell /= np.linalg.norm(shell, axis=1)[:, None]
+    clouds = {"shell": shell, "ball": rng.normal(size=(500, 3)), "flat": rng.random((200, 3)) * [1, 1, 0], "line": np.outer(np.arange(9.0), [1, 2, 3]), "one": np.ones((1, 3)), "same": np.ones((4, 3))}
+    df = spark.createDataFrame([(k, *map(float, p)) for k, v in clouds.items() for p in v], "tracer string, x double, y double, z double")
+    got = dict(groups.diameters(df, ["tracer"]).collect())
+    for k, v in clouds.items():
+        assert got[k] == pytest.approx(np.linalg.norm(v[:, None] - v[None], axis=2).max())
+
+
+def test_fixed_lengths_and_single_members(spark):
+    df = spark.createDataFrame([("BGS_ANY", 0, 0.0, 0.0, 0.0), ("BGS_ANY", 1, 19.0, 0.0, 0.0), ("BGS_ANY", 2, 50.0, 0.0, 0.0), ("QSO", 3, 0.0, 0.0, 0.0), ("QSO", 4, 69.0, 0.0, 0.0), ("other", 5, 0.0, 0.0, 0.0)], "tracer string, pid long, x double, y double, z double")
+    lengths = groups.fixed_lengths(df, ["tracer"])
+    assert dict(lengths.collect()) == {"BGS_ANY": 20.0, "QSO": 70.0}
+    found = groups.friends_each(df, ["tracer"], lengths)
+    assert sorted((r.pid, r.groupid) for r in found.collect()) == [(0, 0), (1, 0), (2, 1), (3, 0), (4, 0)]
+    got = {(r.tracer, r.groupid): r.a for r in groups.ellipsoids(found, ["tracer", "groupid"], least=2).collect()}
+    assert got["BGS_ANY", 1] is None and got["BGS_ANY", 0] == pytest.approx(np.sqrt(19.0**2 / 2))
+
+
+def test_blocks_begin_where_path_and_seed_say():
+    starts = {sampling.block_start(p, 1000, 100, s) for p in ("a.fits", "b.fits") for s in range(20)}
+    assert len(starts) > 30 and all(0 <= x <= 900 for x in starts)
+    assert sampling.block_start("a.fits", 1000, 100, 3) == sampling.block_start("a.fits", 1000, 100, 3)
+    assert sampling.block_start("a.fits", 50, 100) == 0
