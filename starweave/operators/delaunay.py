@@ -1,7 +1,8 @@
 """Three-dimensional Delaunay triangulation in numpy, by incremental insertion.
 
 Outer facets are tetrahedra with a vertex at infinity, so there is no large bounding simplex to spoil the
-hull. All tests of a step run over all tetrahedra at once.
+hull. All tests of a step run over all tetrahedra at once, component by component in arrays that are kept;
+tetrahedra that a step makes take the places of those it removes.
 """
 
 from __future__ import annotations
@@ -54,30 +55,59 @@ def tetrahedra(points: np.ndarray) -> np.ndarray:
         raise DegenerateError("all points lie in one plane")
     first = [i, j, k, m]
     inside = p[first].mean(0)
-    solid = np.array([first])
-    centre, r2 = _spheres(p, solid)
+    corners, balls, used = np.empty((64, 4), dtype=np.int64), np.empty((4, 64)), 0
+    free = np.zeros(0, dtype=np.int64)
+
+    def put(new: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Writes tetrahedra to free places and behind the last one; the places left over."""
+        nonlocal corners, balls, used
+        more = max(0, len(new) - len(places))
+        if used + more > len(corners):
+            room = 2 * (used + more) - len(corners)
+            corners = np.concatenate([corners, np.empty((room, 4), dtype=np.int64)])
+            balls = np.concatenate([balls, np.empty((4, room))], 1)
+        at = np.concatenate([places[: len(new)], np.arange(used, used + more)])
+        used += more
+        centre, r2 = _spheres(p, new)
+        corners[at] = new
+        balls[:3, at] = centre.T
+        balls[3, at] = r2 * (1 - EPS)
+        left = places[len(new) :]
+        corners[left], balls[3, left] = -1, -np.inf
+        return left
+
+    put(np.array([first]), free)
     hull = np.array([[b for b in first if b != a] for a in first])
     normals, offs = _planes(p, hull, inside)
     rest = np.setdiff1d(np.arange(len(p)), first)
     for x in rest[np.random.default_rng(0).permutation(len(rest))]:
         q = p[x]
-        d = centre - q
-        hit = (d * d).sum(1) < r2 * (1 - EPS)
+        far = np.zeros(used)
+        for k in range(3):
+            d = balls[k, :used] - q[k]
+            d *= d
+            far += d
+        hit = np.flatnonzero(far < balls[3, :used])
         out = normals @ q > offs + EPS
-        faces = np.concatenate([solid[hit][:, [1, 2, 3]], solid[hit][:, [0, 2, 3]], solid[hit][:, [0, 1, 3]], solid[hit][:, [0, 1, 2]], hull[out]])
-        edges = np.concatenate([hull[out][:, [0, 1]], hull[out][:, [0, 2]], hull[out][:, [1, 2]]]) if out.any() else np.zeros((0, 2), dtype=int)
-        if len(faces):
-            faces = np.sort(faces, 1)
-            key, n = np.unique(faces, axis=0, return_counts=True)
-            new = np.column_stack([key[n == 1], np.full((n == 1).sum(), x)])
-            c, r = _spheres(p, new)
-            solid, centre, r2 = np.concatenate([solid[~hit], new]), np.concatenate([centre[~hit], c]), np.concatenate([r2[~hit], r])
-        if len(edges):
-            key, n = np.unique(np.sort(edges, 1), axis=0, return_counts=True)
-            new = np.column_stack([key[n == 1], np.full((n == 1).sum(), x)])
+        old, seen = corners[hit], hull[out]
+        faces = _single(np.concatenate([old[:, [1, 2, 3]], old[:, [0, 2, 3]], old[:, [0, 1, 3]], old[:, [0, 1, 2]], seen]), len(p))
+        free = put(np.column_stack([faces, np.full(len(faces), x)]), np.concatenate([hit, free]))
+        if len(seen):
+            rims = _single(np.concatenate([seen[:, [0, 1]], seen[:, [0, 2]], seen[:, [1, 2]]]), len(p))
+            new = np.column_stack([rims, np.full(len(rims), x)])
             nn, oo = _planes(p, new, inside)
             hull, normals, offs = np.concatenate([hull[~out], new]), np.concatenate([normals[~out], nn]), np.concatenate([offs[~out], oo])
-    return solid
+    return corners[:used][corners[:used, 0] >= 0]
+
+
+def _single(rows: np.ndarray, n: int) -> np.ndarray:
+    """The faces or edges, as indices below n (some two million at most), that occur once."""
+    rows = np.sort(rows, 1)
+    key = rows[:, 0]
+    for k in range(1, rows.shape[1]):
+        key = key * n + rows[:, k]
+    _, at, times = np.unique(key, return_index=True, return_counts=True)
+    return rows[at[times == 1]]
 
 
 def edges(points: np.ndarray) -> np.ndarray:
