@@ -35,11 +35,21 @@ def draw(pool: DataFrame, iterations: DataFrame, sizes: DataFrame, key: list[str
     """For each iteration, as many points of the pool as sizes(key, n_real) asks for.
 
     iterations(randiter [, file_idx]) and sizes are small dimension tables. Points are ranked by the hash of
-    iteration and id, so draws repeat, whatever the partitions are.
+    iteration and id, so draws repeat, whatever the partitions are. Only hashes low enough to be drawn, but for
+    one case in a billion, are sorted; keys and iterations that this leaves short are ranked whole.
     """
-    pool = pool.join(F.broadcast(iterations), "file_idx") if by_file else pool.crossJoin(F.broadcast(iterations.select("randiter")))
-    w = Window.partitionBy(*key, "randiter").orderBy(rank_hash(F.col("randiter"), F.col("targetid")), "targetid")
-    return pool.withColumn("_rank", F.row_number().over(w)).join(sizes, key).where("_rank <= n_real").drop("_rank", "n_real")
+    held = [*key, "file_idx"] if by_file else key
+    asked = pool.groupBy(*held).agg(F.count(F.lit(1)).alias("n_pool")).join(sizes, key)  # a row for each key and file
+    every = lambda df: df.join(F.broadcast(iterations), "file_idx") if by_file else df.crossJoin(F.broadcast(iterations.select("randiter")))
+    rows = every(pool.join(asked, held)).withColumn("_hash", rank_hash(F.col("randiter"), F.col("targetid")))
+    low = F.expr("conv(substring(_hash, 1, 8), 16, 10) / 4294967296D < (n_real + 6 * sqrt(n_real) + 10) / n_pool")
+    some = rows.where(low)
+    met = some.groupBy(*key, "randiter").agg(F.count(F.lit(1)).alias("_met"))
+    short = every(asked).join(met, [*key, "randiter"], "left").where("coalesce(_met, 0) < least(n_real, n_pool)")
+    rest = rows.where(~low).join(short.select(*key, "randiter"), [*key, "randiter"], "left_semi").select(rows.columns)
+    w = Window.partitionBy(*key, "randiter").orderBy("_hash", "targetid")
+    drawn = some.union(rest).withColumn("_rank", F.row_number().over(w)).where("_rank <= n_real")
+    return drawn.drop("_rank", "_hash", "_met", "n_real", "n_pool")
 
 
 def short_pools(pool: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:

@@ -245,3 +245,23 @@ def test_blocks_begin_where_path_and_seed_say():
     assert len(starts) > 30 and all(0 <= x <= 900 for x in starts)
     assert sampling.block_start("a.fits", 1000, 100, 3) == sampling.block_start("a.fits", 1000, 100, 3)
     assert sampling.block_start("a.fits", 50, 100) == 0
+
+
+@pytest.mark.parametrize("by_file", [False, True])
+def test_draws_are_the_lowest_hashes(spark, by_file):
+    import hashlib
+
+    # Key c has ids picked so that its low hashes are too few.
+    low = lambda j, i: int(hashlib.md5(f"{j}|{i}".encode()).hexdigest()[:8], 16) / 2**32
+    ids = {"a": range(2000), "b": range(2000, 2030), "c": [i for i in range(9000) if low(0, i) > 0.5][:900]}
+    rows = [(k, i, i % 2) for k, v in ids.items() for i in v]
+    plan = [(0, 1), (1, 0)]
+    n = {"a": 40, "b": 50, "c": 30}
+    pool = spark.createDataFrame(rows, "tracer string, targetid long, file_idx int")
+    got = sampling.draw(pool, spark.createDataFrame(plan, "randiter int, file_idx int"), spark.createDataFrame(list(n.items()), "tracer string, n_real int"), ["tracer"], by_file)
+    want = []
+    for j, f in plan:
+        for k, v in ids.items():
+            own = [i for i in v if not by_file or i % 2 == f]
+            want += [(k, j, i) for i in sorted(own, key=lambda i: (hashlib.md5(f"{j}|{i}".encode()).hexdigest(), i))[: n[k]]]
+    assert sorted((r.tracer, r.randiter, r.targetid) for r in got.collect()) == sorted(want)
