@@ -40,16 +40,18 @@ def draw(pool: DataFrame, iterations: DataFrame, sizes: DataFrame, key: list[str
     """
     held = [*key, "file_idx"] if by_file else key
     asked = pool.groupBy(*held).agg(F.count(F.lit(1)).alias("n_pool")).join(sizes, key)  # a row for each key and file
+    share = F.expr("(n_real + 6 * sqrt(n_real) + 10) / n_pool")
+    asked = asked.withColumn("_below", F.when(share >= 1, "g").otherwise(F.lower(F.lpad(F.hex((share * 2**32).cast("long")), 8, "0"))))  # g is above all hex digits
     every = lambda df: df.join(F.broadcast(iterations), "file_idx") if by_file else df.crossJoin(F.broadcast(iterations.select("randiter")))
     rows = every(pool.join(asked, held)).withColumn("_hash", rank_hash(F.col("randiter"), F.col("targetid")))
-    low = F.expr("conv(substring(_hash, 1, 8), 16, 10) / 4294967296D < (n_real + 6 * sqrt(n_real) + 10) / n_pool")
+    low = F.col("_hash") < F.col("_below")
     some = rows.where(low)
     met = some.groupBy(*key, "randiter").agg(F.count(F.lit(1)).alias("_met"))
     short = every(asked).join(met, [*key, "randiter"], "left").where("coalesce(_met, 0) < least(n_real, n_pool)")
     rest = rows.where(~low).join(short.select(*key, "randiter"), [*key, "randiter"], "left_semi").select(rows.columns)
     w = Window.partitionBy(*key, "randiter").orderBy("_hash", "targetid")
     drawn = some.union(rest).withColumn("_rank", F.row_number().over(w)).where("_rank <= n_real")
-    return drawn.drop("_rank", "_hash", "_met", "n_real", "n_pool")
+    return drawn.drop("_rank", "_hash", "_below", "n_real", "n_pool")
 
 
 def short_pools(pool: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
