@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,15 @@ def bands(curves: DataFrame, keys: list[str], value: str) -> DataFrame:
     return curves.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("p16"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p84"))
 
 
+def nth_bin(value: Column, low: float, high: float, bins: int) -> Column:
+    """From 0: whole widths from `low` to the value, which width_bucket would round otherwise at the ends of bins."""
+    return F.least(F.floor((value - F.lit(float(low))) / F.lit((high - low) / bins)), F.lit(bins - 1))
+
+
 def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
     """keys..., bin (from 0), n: even bins, the last of which holds its right end; values outside are left out."""
     rows = df.where((F.col(value) >= low) & (F.col(value) <= high))
-    b = F.least(F.width_bucket(F.col(value), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins)) - 1
-    return rows.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*keys, nth_bin(F.col(value), low, high, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def density(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -54,7 +58,7 @@ def density(df: DataFrame, keys: list[str], value: str, low: float, high: float,
 def grid_counts(points: DataFrame, side: float, cells: int) -> DataFrame:
     """ix, iy, iz, n of points in a cube about the origin; empty cells have no row."""
     rows = points.where(" AND ".join(f"abs({c}) <= {side / 2}D" for c in "xyz"))
-    of = lambda c: (F.least(F.width_bucket(F.col(c), F.lit(-side / 2), F.lit(side / 2), F.lit(cells)), F.lit(cells)) - 1).cast("int").alias(f"i{c}")
+    of = lambda c: nth_bin(F.col(c), -side / 2, side / 2, cells).cast("int").alias(f"i{c}")
     return rows.groupBy(of("x"), of("y"), of("z")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from starweave.functions import cosmology
 from starweave.functions.webtype import TYPES, classify, entropy, most_probable, probabilities, ratio
 from starweave.operators import delaunay, graph, groups, sampling, select, stats
-from starweave.plans import pipeline
+from starweave.plans import pipeline, registry
 from starweave.sources import fits, products, releases
 
 
@@ -135,6 +135,16 @@ def test_histogram_holds_its_right_end(spark):
     assert {x.bin: x.density for x in stats.density(df, ["k"], "v", 0, 0.6, 2).collect()}[1] == pytest.approx(2 / (4 * 0.3))
 
 
+def test_histogram_counts_whole_widths_as_its_sql_does(spark, duck, tmp_path):
+    # Balances of 550 k - 1000 lie on the ends of bins, where z / 0.1 and 20 z / 2 round to either side.
+    rows = [(k, "x", 1, 550.0 * k - 1000.0, "t") for k in range(21)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT tracer, bin, n FROM ({registry.ORACLE_SQL['z_histogram']})").fetchall())
+    assert sorted(map(tuple, registry.QUERIES["z_histogram"](spark, str(tmp_path)).select("tracer", "bin", "n").collect())) == want
+
+
 def test_fits_round_trip(spark, tmp_path):
     rows = [(1, 0.5, True, "abc", 3), (2, -1.25, False, "", 4)]
     df = spark.createDataFrame(rows, "TARGETID long, Z double, ISDATA boolean, NAME string, N int").coalesce(1)
