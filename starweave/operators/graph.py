@@ -13,11 +13,16 @@ from ..session import ship
 from . import delaunay
 
 
+def apart(df: DataFrame, block: list[str]) -> DataFrame:
+    """Blocks in many partitions: a block takes seconds but has few bytes, by which partitions would be put together."""
+    return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *block)
+
+
 def delaunay_edges(points: DataFrame, block: list[str], on_degenerate: str = "empty") -> DataFrame:
     """block..., id1 < id2 for each edge of each block's triangulation.
 
     points: block columns, pid (unique within a block), x, y, z. A block is one unit of geometry and one
-    group; of points that coincide the smallest pid stands for all. Blocks without a triangulation have no
+    group; of points that coincide the smallest pid stands for all, and points without a place have no edges. Blocks without a triangulation have no
     edges, or raise with on_degenerate='raise'.
     """
     ship(points.sparkSession)
@@ -29,7 +34,7 @@ def delaunay_edges(points: DataFrame, block: list[str], on_degenerate: str = "em
         order = np.argsort(pid, kind="stable")
         pid, at = pid[order], at[order]
         _, one = np.unique(at, axis=0, return_index=True)
-        one.sort()
+        one = np.sort(one[np.isfinite(at[one]).all(1)])
         try:
             found = delaunay.edges(at[one])
         except delaunay.DegenerateError:
@@ -42,7 +47,7 @@ def delaunay_edges(points: DataFrame, block: list[str], on_degenerate: str = "em
         return pa.table({**cols, "id1": pa.array(ends[:, 0]), "id2": pa.array(ends[:, 1])})
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in block), f"id1 {kinds['pid']}", f"id2 {kinds['pid']}"])
-    return points.select(*block, "pid", "x", "y", "z").groupBy(*block).applyInArrow(lambda t: run(t), schema)
+    return apart(points.select(*block, "pid", "x", "y", "z"), block).groupBy(*block).applyInArrow(lambda t: run(t), schema)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

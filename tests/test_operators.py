@@ -67,6 +67,21 @@ def test_triangulation_by_euler_and_empty_spheres():
     assert delaunay.volume(cube + rng.normal(size=cube.shape) * 1e-7) == pytest.approx(1.0, abs=1e-5)
 
 
+def test_triangulation_of_copies_that_differ_in_the_last_digits():
+    # As of catalogues repeated under other keys, whose places are computed anew; on a lattice many points share a sphere.
+    rng = np.random.default_rng(2)
+    near = np.repeat(rng.normal(size=(60, 3)), 6, 0) + rng.normal(size=(360, 3)) * 1e-13
+    lattice = np.stack(np.meshgrid(*[np.arange(5.0)] * 3), -1).reshape(-1, 3)
+    for p in (near, lattice):
+        t = delaunay.tetrahedra(p)
+        edges = delaunay.edges(p)
+        faces, times = np.unique(np.sort(np.concatenate([np.delete(t, k, 1) for k in range(4)]), 1), axis=0, return_counts=True)
+        assert times.max() == 2 and len(np.unique(t)) == len(p)
+        assert len(p) - len(edges) + len(faces) - len(t) == 1
+    assert delaunay.volume(near) == pytest.approx(delaunay.volume(near[::6]), rel=1e-9)
+    assert delaunay.volume(lattice) == pytest.approx(64.0)
+
+
 def test_degrees_match_edges_and_coincident_points_are_isolated(spark):
     rng = np.random.default_rng(1)
     at = [(0, i, *map(float, rng.normal(size=3)), bool(i % 2)) for i in range(30)]
