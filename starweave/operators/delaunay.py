@@ -350,9 +350,34 @@ def edges(points: np.ndarray) -> np.ndarray:
     return np.column_stack(np.divmod(key, n))
 
 
+def _rim(p: np.ndarray, ways: int = 128) -> np.ndarray:
+    """The points that may be corners of the convex hull: without those within the hull of the extremes in some directions."""
+    way = np.random.default_rng(0).normal(size=(3, ways))
+    along = (p - p.mean(0)) @ way
+    ends = np.unique(np.concatenate([along.argmax(0), along.argmin(0)]))
+    try:
+        t = tetrahedra(p[ends])
+    except DegenerateError:
+        return p
+    faces, times = np.unique(np.sort(np.concatenate([np.delete(t, k, 1) for k in range(4)]), 1), axis=0, return_counts=True)
+    a, b, c = (p[ends[faces[times == 1, k]]] for k in range(3))
+    normal = np.cross(b - a, c - a)
+    middle = p[ends].mean(0)
+    size = np.linalg.norm(normal, axis=1)
+    normal *= np.where(np.einsum("ij,ij->i", normal, middle - a) > 0, -1.0, 1.0)[:, None]
+    # A face too thin to have a direction keeps all points, and so does one that a point is near.
+    slack = 1e-6 * size * np.abs(p - middle).max()
+    depth = np.full(len(p), True)
+    for k in range(0, len(normal), 64):
+        depth &= ((p @ normal[k : k + 64].T - np.einsum("ij,ij->i", normal[k : k + 64], a[k : k + 64])) < -slack[k : k + 64]).all(1)
+    return p[~depth]
+
+
 def volume(points: np.ndarray) -> float:
     """Of the convex hull."""
     p = np.asarray(points, dtype=float)
+    if len(p) > 1000:
+        p = _rim(p)
     t = tetrahedra(p)
     a = p[t[:, 0]]
     return float(np.abs(np.einsum("ij,ij->i", p[t[:, 1]] - a, np.cross(p[t[:, 2]] - a, p[t[:, 3]] - a))).sum() / 6)

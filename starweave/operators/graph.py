@@ -13,7 +13,7 @@ from ..session import ship
 from . import delaunay
 
 
-def apart(df: DataFrame, block: list[str]) -> DataFrame:
+def spread_blocks(df: DataFrame, block: list[str]) -> DataFrame:
     """Blocks in many partitions: a block takes seconds but has few bytes, by which partitions would be put together."""
     return df.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *block)
 
@@ -47,7 +47,7 @@ def delaunay_edges(points: DataFrame, block: list[str], on_degenerate: str = "em
         return pa.table({**cols, "id1": pa.array(ends[:, 0]), "id2": pa.array(ends[:, 1])})
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in block), f"id1 {kinds['pid']}", f"id2 {kinds['pid']}"])
-    return apart(points.select(*block, "pid", "x", "y", "z"), block).groupBy(*block).applyInArrow(lambda t: run(t), schema)
+    return spread_blocks(points.select(*block, "pid", "x", "y", "z"), block).groupBy(*block).applyInArrow(lambda t: run(t), schema)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

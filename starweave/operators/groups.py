@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import delaunay
 from .components import connected
-from .graph import radius_pairs
+from .graph import radius_pairs, spread_blocks
 
 #: The smallest linking length: the spacing of single precision at 1. Fixed value.
 LEAST = 1.1920929e-07
@@ -38,7 +39,7 @@ def linking_lengths(points: DataFrame, block: list[str], most: int = HULL_POINTS
             v = 0.0
         return pa.table({**{c: table.column(c).slice(0, 1) for c in block}, "volume": pa.array([v])})
 
-    volumes = some.select(*block, *"xyz").groupBy(*block).applyInArrow(lambda t: hull(t), ", ".join([*(f"`{c}` {kinds[c]}" for c in block), "volume double"]))
+    volumes = spread_blocks(some.select(*block, *"xyz"), block).groupBy(*block).applyInArrow(lambda t: hull(t), ", ".join([*(f"`{c}` {kinds[c]}" for c in block), "volume double"]))
     length = F.when(F.col("n") <= 1, LEAST).when(F.col("volume") > 0, F.cbrt(F.col("volume") / F.col("n"))).otherwise(F.greatest("diagonal", F.lit(LEAST)))
     return box.join(volumes, block).select(*block, "n", length.alias("linklen"))
 
@@ -49,9 +50,15 @@ def _four(at: np.ndarray) -> float:
 
 def friends(points: DataFrame, block: list[str], eps: float) -> DataFrame:
     """points with `first` (the smallest pid of the group) and groupid (dense from 0 within the block). pid is unique in all blocks."""
-    links = radius_pairs(points, block, eps)
+    # Points of a cell whose box is no longer than eps across are all linked: the smallest stands for them, and one link for all between two cells.
+    cell = {f"_c{c}": F.floor(F.col(c) / (eps / math.sqrt(3) * (1 - 1e-9))) for c in "xyz"}
+    across = F.sqrt(reduce(lambda a, b: a + b, ((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in "xyz")))
+    rows = points.withColumns(cell)
+    cells = rows.groupBy(*block, *cell).agg(F.min("pid").alias("_least"), across.alias("_across"))
+    rows = rows.join(cells, [*block, *cell]).withColumn("_home", F.when(F.col("_across") <= eps, F.col("_least")).otherwise(F.col("pid"))).drop(*cell, "_least", "_across")
+    links = radius_pairs(rows.select(*block, F.col("_home").alias("pid"), *"xyz"), block, eps)
     part = connected(links.select(F.col("id1").alias("a"), F.col("id2").alias("b")))
-    rows = points.join(part.withColumnRenamed("node", "pid"), "pid", "left").withColumn("first", F.coalesce("component", "pid")).drop("component")
+    rows = rows.join(part.withColumnRenamed("node", "_home"), "_home", "left").withColumn("first", F.coalesce("component", "_home")).select(*points.columns, "first")
     return rows.withColumn("groupid", F.dense_rank().over(Window.partitionBy(*block).orderBy("first")) - 1)
 
 

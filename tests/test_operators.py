@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from starweave.functions import cosmology
 from starweave.functions.webtype import TYPES, classify, entropy, most_probable, probabilities, ratio
 from starweave.operators import delaunay, graph, groups, sampling, select, stats
+from starweave.operators.components import connected
 from starweave.plans import pipeline, registry
 from starweave.sources import fits, products, releases
 
@@ -118,6 +119,30 @@ def test_groups_of_points(spark):
     assert (e.a, e.b, e.c) == (pytest.approx(want, abs=1e-6), pytest.approx(want, abs=1e-6), pytest.approx(0, abs=1e-6))
 
 
+def test_dense_cells_are_linked_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.random((300, 3)) * 0.1, rng.random((200, 3)) * 6 + [0, 0, 1], rng.random((50, 3)) * 0.1 + [0.5, 0.5, 0.5]])
+    counted = []
+    monkeypatch.setattr(groups, "connected", lambda e: counted.append(e.distinct().count()) or connected(e))
+    df = spark.createDataFrame([("t", int(i), *map(float, p)) for i, p in enumerate(at[rng.permutation(len(at))])], "tracer string, pid long, x double, y double, z double")
+    got = {r.pid: r.first for r in groups.friends(df, ["tracer"], 1.0).collect()}
+    p = np.array([r[2:] for r in df.orderBy("pid").collect()])
+    near = np.linalg.norm(p[:, None] - p[None], axis=2) <= 1.0
+    first = np.arange(len(p))
+    while (first != (first := np.where(near, first[None], len(p)).min(1))).any():
+        pass
+    assert [got[i] for i in range(len(p))] == first.tolist()
+    assert counted[0] < 5000 < near.sum() // 2
+
+
+def test_hull_of_many_points_needs_few():
+    p = np.random.default_rng(6).normal(size=(3000, 3))
+    assert len(delaunay._rim(p)) < 300
+    t = delaunay.tetrahedra(p)
+    whole = np.abs(np.linalg.det(p[t[:, 1:]] - p[t[:, :1]])).sum() / 6
+    assert delaunay.volume(p) == pytest.approx(whole, rel=1e-12)
+
+
 def test_axes_equal_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(g, i, *map(float, rng.normal(size=3) * [1, 2, 3])) for g in range(20) for i in range(rng.integers(2, 9))]
