@@ -373,11 +373,15 @@ def _rim(p: np.ndarray, ways: int = 128) -> np.ndarray:
     return p[~depth]
 
 
+def rim(points: np.ndarray) -> np.ndarray:
+    """The points that may be corners of the convex hull; all, where they are few."""
+    p = np.asarray(points, dtype=float)
+    return _rim(p) if len(p) > 1000 else p
+
+
 def volume(points: np.ndarray) -> float:
     """Of the convex hull."""
-    p = np.asarray(points, dtype=float)
-    if len(p) > 1000:
-        p = _rim(p)
+    p = rim(points)
     t = tetrahedra(p)
     a = p[t[:, 0]]
     return float(np.abs(np.einsum("ij,ij->i", p[t[:, 1]] - a, np.cross(p[t[:, 2]] - a, p[t[:, 3]] - a))).sum() / 6)

@@ -17,29 +17,42 @@ from .graph import radius_pairs, spread_blocks
 
 #: The smallest linking length: the spacing of single precision at 1. Fixed value.
 LEAST = 1.1920929e-07
-#: Points of a block from which its hull is taken, by rank of hash.
-HULL_POINTS = 50_000
+#: Points of a block whose corners are looked for in one task; the hull is taken from the corners of all parts.
+PART_POINTS = 50_000
 #: Fixed linking lengths of the first version, by tracer (Mpc). Fixed values.
 FIXED = {"BGS": 20.0, "ELG": 20.0, "LRG": 20.0, "QSO": 70.0}
 
 
-def linking_lengths(points: DataFrame, block: list[str], most: int = HULL_POINTS) -> DataFrame:
-    """block..., n, linklen: the cube root of hull volume over number; the bounding box's diagonal where there is no hull."""
+def linking_lengths(points: DataFrame, block: list[str], part: int = PART_POINTS) -> DataFrame:
+    """block..., n, linklen: the cube root of hull volume over number; the bounding box's diagonal where there is no hull.
+
+    The hull is that of all points: a block is dealt to parts of about so many points, and only points that may be
+    corners of their part's hull can be corners of the block's.
+    """
     ship(points.sparkSession)
-    w = Window.partitionBy(*block).orderBy(F.md5(F.col("pid").cast("string")), "pid")
     box = points.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sqrt(sum((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in "xyz")).alias("diagonal"))
-    some = points.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most)
+    parts = box.select(*block, F.ceil(F.col("n") / part).alias("_parts"))
+    dealt = points.select(*block, "pid", *"xyz").join(parts, block).withColumn("_part", F.pmod(F.xxhash64("pid"), F.col("_parts")))
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    keys = ", ".join(f"`{c}` {kinds[c]}" for c in block)
+
+    def places(table: pa.Table) -> np.ndarray:
+        return np.unique(np.stack([np.asarray(table.column(c).combine_chunks()).astype(float) for c in "xyz"], 1), axis=0)
+
+    def corners(table: pa.Table) -> pa.Table:
+        at = delaunay.rim(places(table))
+        return pa.table({**{c: pa.array([table.column(c)[0].as_py()] * len(at), type=table.schema.field(c).type) for c in block}, **{c: at[:, k] for k, c in enumerate("xyz")}})
 
     def hull(table: pa.Table) -> pa.Table:
-        at = np.unique(np.stack([np.asarray(table.column(c).combine_chunks()).astype(float) for c in "xyz"], 1), axis=0)
+        at = places(table)
         try:
             v = _four(at) if len(at) == 4 else delaunay.volume(at)
         except delaunay.DegenerateError:
             v = 0.0
         return pa.table({**{c: table.column(c).slice(0, 1) for c in block}, "volume": pa.array([v])})
 
-    volumes = spread_blocks(some.select(*block, *"xyz"), block).groupBy(*block).applyInArrow(lambda t: hull(t), ", ".join([*(f"`{c}` {kinds[c]}" for c in block), "volume double"]))
+    rims = spread_blocks(dealt.select(*block, "_part", *"xyz"), [*block, "_part"]).groupBy(*block, "_part").applyInArrow(lambda t: corners(t), f"{keys}, x double, y double, z double")
+    volumes = spread_blocks(rims, block).groupBy(*block).applyInArrow(lambda t: hull(t), f"{keys}, volume double")
     length = F.when(F.col("n") <= 1, LEAST).when(F.col("volume") > 0, F.cbrt(F.col("volume") / F.col("n"))).otherwise(F.greatest("diagonal", F.lit(LEAST)))
     return box.join(volumes, block).select(*block, "n", length.alias("linklen"))
 

@@ -1,4 +1,7 @@
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from starweave.functions import cosmology
@@ -143,6 +146,16 @@ def test_hull_of_many_points_needs_few():
     assert delaunay.volume(p) == pytest.approx(whole, rel=1e-12)
 
 
+def test_linking_length_takes_the_hull_of_all_points(spark):
+    pids = sorted(range(50_008), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    at = np.random.default_rng(3).random((len(pids), 3)) * 0.2 - 0.1
+    at[-8:] = [[x, y, z] for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)]  # last by hash
+    df = spark.createDataFrame(pd.DataFrame({"t": "a", "pid": pids, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}))
+    want = (8 / len(pids)) ** (1 / 3)
+    assert groups.linking_lengths(df, ["t"]).first().linklen == pytest.approx(want, rel=1e-12)
+    assert groups.linking_lengths(df, ["t"], part=3000).first().linklen == pytest.approx(want, rel=1e-12)
+
+
 def test_axes_equal_numpy(spark):
     rng = np.random.default_rng(0)
     rows = [(g, i, *map(float, rng.normal(size=3) * [1, 2, 3])) for g in range(20) for i in range(rng.integers(2, 9))]
