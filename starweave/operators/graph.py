@@ -1,4 +1,4 @@
-"""Graphs of points: Delaunay edges, neighbour counts, radius and nearest-neighbour pairs, and filters on edges."""
+"""Graphs of points: Delaunay edges, neighbour counts, radius pairs, and filters on edges; nearest neighbours are in nearest.py."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import delaunay
+from .nearest import nearest  # noqa: F401
 
 
 def spread_blocks(df: DataFrame, block: list[str]) -> DataFrame:
@@ -86,22 +87,6 @@ def radius_pairs(points: DataFrame, block: list[str], eps: float) -> DataFrame:
     return found.where(F.col("distance") <= eps).select(*block, "id1", "id2", "distance")
 
 
-def nearest(points: DataFrame, block: list[str], k: int, symmetric: bool = True) -> DataFrame:
-    """block..., id1, id2, distance: each point's k nearest of its block (ties by id), as pairs id1 < id2.
-
-    symmetric: a pair counts if either end has the other among its nearest; else only if the smaller id has.
-    """
-    # A lower bound of the search radius is not known, so a block is compared whole; blocks bound the work.
-    a = points.select(*block, F.col("pid").alias("id1"), *(F.col(c).alias(f"{c}1") for c in "xyz"))
-    b = points.select(*block, F.col("pid").alias("id2"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
-    d2 = reduce(lambda x, y: x + y, ((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"))
-    w = Window.partitionBy(*block, "id1").orderBy("distance", "id2")
-    found = a.join(b, block).where("id1 <> id2").withColumn("distance", F.sqrt(d2)).withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= k)
-    if not symmetric:
-        return found.where("id1 < id2").select(*block, "id1", "id2", "distance")
-    return found.select(*block, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "distance").distinct()
-
-
 def within_length(edges: DataFrame, block: list[str], limit: float | None = None) -> DataFrame:
     """Edges no longer than the limit, or than the larger of the 95th percentile and 2.5 medians of their block."""
     if limit is not None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from starweave.functions import cosmology
 from starweave.functions.webtype import TYPES, classify, entropy, most_probable, probabilities, ratio
-from starweave.operators import delaunay, graph, groups, sampling, select, stats
+from starweave.operators import delaunay, graph, groups, nearest, sampling, select, stats
 from starweave.operators.components import connected
 from starweave.plans import pipeline, registry
 from starweave.sources import fits, products, releases
@@ -100,6 +100,31 @@ def test_degrees_match_edges_and_coincident_points_are_isolated(spark):
         graph.delaunay_edges(pts, ["b"], on_degenerate="raise").collect()
 
 
+@pytest.mark.parametrize("k, leaf, chunk", [(4, 256, 65_536), (1, 8, 300)])
+def test_nearest_of_leaves_copies_and_points_without_a_place(spark, duck, monkeypatch, k, leaf, chunk):
+    monkeypatch.setattr(nearest, "LEAF", leaf)
+    monkeypatch.setattr(nearest, "CHUNK", chunk)
+    rng, inf, nan = np.random.default_rng(1), np.inf, np.nan
+    odd = [[inf, 0, 0], [nan, 0, 0], [inf, 1, 1], [-inf, 2, 2], [1, nan, inf], [None, 0, 0], [1, None, nan]]
+    blocks = [rng.normal(size=(700, 3)), rng.integers(0, 4, (600, 3)), np.concatenate([np.zeros((300, 3)), rng.normal(size=(50, 3)) * 1e-9, [[1e9, 0, 0], [1e200, 0, 0]]])]
+    blocks = [[list(map(float, p)) for p in b] for b in blocks] + [[[0, 0, 0], [1, 0, 0], [0, 3, 0], *odd], [*rng.normal(size=(40, 3)).tolist(), *odd]]
+    at = [(t if i % 97 else None, *(None if c is None else float(c) for c in p)) for t, b in enumerate(blocks) for i, p in enumerate(b, 1)]
+    df = spark.createDataFrame([(int(i), *p) for i, p in zip(rng.permutation(len(at)), at, strict=True)], "pid long, tracer int, x double, y double, z double")
+    given = df.toArrow()  # noqa: F841
+    duck.sql("CREATE OR REPLACE TEMP TABLE points_of_leaves AS SELECT * FROM given")
+    both = "SELECT a.tracer, a.pid AS id1, b.pid AS id2, row_number() OVER (PARTITION BY a.tracer, a.pid ORDER BY sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.pid) AS k FROM points_of_leaves a JOIN points_of_leaves b ON a.tracer = b.tracer AND a.pid <> b.pid"
+    want = duck.sql(f"SELECT tracer, id1, id2 FROM ({both}) WHERE k <= {k} AND id1 < id2").fetchall()
+    assert sorted(tuple(r)[:3] for r in graph.nearest(df, ["tracer"], k, symmetric=False).collect()) == sorted(want)
+
+
+def test_nearest_makes_no_pairs_of_whole_blocks(spark):
+    at = np.random.default_rng(2).normal(size=(6000, 3))
+    df = spark.createDataFrame(pd.DataFrame({"tracer": 1, "pid": range(6000), "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]}))
+    rows = nearest._placed(df.withColumns({n: F.struct(*(F.lit(v).alias(c) for c in "xyz")) for n, v in (("lo", -5.0), ("hi", 5.0))}), ["tracer"], 4)
+    assert rows.count() == 6000 and rows.where("_lead").groupBy("_leaf").count().agg(F.max("count")).first()[0] <= nearest.LEAF
+    assert rows.agg(F.max("_reach")).first()[0] < 5
+
+
 def test_classes_made_of_pairs(spark):
     ids = spark.createDataFrame([("t", 1, -1), ("t", 2, -1), ("t", 9, 0), ("t", 8, 1)], "tracer string, pid long, randiter int")
     pairs = spark.createDataFrame([("t", 0, 1, 9), ("t", 0, 1, 2)], "tracer string, randiter int, id1 long, id2 long")
