@@ -6,10 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import materialize
 from . import delaunay
 from .nearest import nearest  # noqa: F401
 
@@ -76,22 +77,60 @@ def classes_of_pairs(pairs: DataFrame, ids: DataFrame, iterations: DataFrame) ->
 
 
 def radius_pairs(points: DataFrame, block: list[str], eps: float) -> DataFrame:
-    """block..., id1 < id2, distance of all pairs of a block at most eps apart, by cells of side eps: an equi-join, not a theta-join."""
+    """block..., id1 < id2, distance of all pairs of a block at most eps apart, by cells of side eps: an equi-join, not a theta-join.
+
+    Of two neighbouring cells only one looks into the other, so a pair meets once.
+    """
     cell = [F.floor(F.col(c) / eps).alias(f"c{c}") for c in "xyz"]
-    left = points.select(*block, F.col("pid").alias("id1"), *(F.col(c).alias(f"{c}1") for c in "xyz"), *cell)
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    right = points.select(*block, F.col("pid").alias("id2"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *cell, F.explode(offsets).alias("o"))
-    right = right.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "cz": F.col("cz") + F.col("o.k")}).drop("o")
+    half = [(i, j, k) for i in (0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in half))
+    left = points.select(*block, F.col("pid").alias("id1"), *(F.col(c).alias(f"{c}1") for c in "xyz"), *cell, F.explode(offsets).alias("o"))
+    left = left.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j"), "cz": F.col("cz") + F.col("o.k"), "other": (F.col("o.i") != 0) | (F.col("o.j") != 0) | (F.col("o.k") != 0)}).drop("o")
+    right = points.select(*block, F.col("pid").alias("id2"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *cell)
     d2 = reduce(lambda a, b: a + b, ((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"))
-    found = left.join(right, [*block, "cx", "cy", "cz"]).where("id1 < id2").withColumn("distance", F.sqrt(d2))
-    return found.where(F.col("distance") <= eps).select(*block, "id1", "id2", "distance")
+    # Cells have few bytes and many pairs, as blocks of geometry do.
+    left = spread_blocks(left, [*block, "cx", "cy", "cz"])
+    found = left.join(right, [*block, "cx", "cy", "cz"]).where("id1 < id2 OR (other AND id1 > id2)").where(F.sqrt(d2) <= eps)
+    return found.select(*block, F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), F.sqrt(d2).alias("distance"))
+
+
+def quantiles(edges: DataFrame, block: list[str], shares: list[float], bins: int = 8192) -> DataFrame:
+    """block..., q0, q1, ...: exact quantiles of distance, between two values in proportion; NULL ones do not count.
+
+    Distances are counted in bins, so many to a doubling, then those of the few bins that hold a quantile by value:
+    what is held in memory or shuffled grows with the bins, not with the edges. edges is read twice.
+    """
+    value = F.col("distance")
+    # Of equal order as the distance; what has no logarithm comes first, NaN last as in ORDER BY.
+    bin_ = F.when(F.isnan(value), 2**31 - 1).when(value == float("inf"), 2**31 - 2).when(value <= 0, -(2**31)).otherwise(F.floor(F.log2(value) * bins).cast("int"))
+    rows = edges.where(value.isNotNull()).select(*block, value, bin_.alias("_bin"))
+    upto = lambda by: Window.partitionBy(*block).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = materialize(rows.groupBy(*block, "_bin").agg(F.count(F.lit(1)).alias("_m")), "bins")
+    places = counts.groupBy(*block).agg(F.sum("_m").alias("_n"))
+    at = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
+    holds = lambda place: (place >= F.col("_end") - F.col("_m")) & (place < F.col("_end"))
+    ends = counts.withColumn("_end", F.sum("_m").over(upto("_bin"))).join(places, block)
+    wanted = ends.where(reduce(lambda a, b: a | b, (holds(f(p)) for p in at for f in (F.floor, F.ceil))))
+    wanted = materialize(wanted.select(*block, "_bin", "_n", (F.col("_end") - F.col("_m")).alias("_before")), "wanted")
+    values = materialize(rows.join(wanted.select(*block, "_bin"), [*block, "_bin"]).groupBy(*block, "_bin", "distance").agg(F.count(F.lit(1)).alias("_m")), "values")
+    values = values.withColumn("_end", F.sum("_m").over(Window.partitionBy(*block, "_bin").orderBy("distance").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    values = values.join(wanted, [*block, "_bin"]).withColumn("_end", F.col("_end") + F.col("_before"))
+    sides = [F.max(F.when(holds(f(p)), value)) for p in at for f in (F.floor, F.ceil)]
+    found = values.groupBy(*block, "_n").agg(*(s.alias(f"_s{n}") for n, s in enumerate(sides)))
+    low, high = ([F.col(f"_s{2 * n + k}") for n in range(len(shares))] for k in (0, 1))
+    # As DuckDB has it; equal ones may be infinite.
+    between = [F.when((F.ceil(p) == F.floor(p)) | (a == b), a).otherwise(a + (p - F.floor(p)) * (b - a)) for p, a, b in zip(at, low, high, strict=True)]
+    return found.select(*block, *(b.alias(f"q{n}") for n, b in enumerate(between)))
 
 
 def within_length(edges: DataFrame, block: list[str], limit: float | None = None) -> DataFrame:
-    """Edges no longer than the limit, or than the larger of the 95th percentile and 2.5 medians of their block."""
+    """Edges no longer than the limit, or than the larger of the 95th percentile and 2.5 medians of their block.
+
+    The edges are made anew for each reading, as they may be far more than the points and are neither kept nor shuffled.
+    """
     if limit is not None:
         return edges.where(F.col("distance") <= limit)
-    q = edges.groupBy(*block).agg(F.greatest(F.percentile("distance", F.lit(0.95)), 2.5 * F.median("distance")).alias("most"))
+    q = materialize(quantiles(edges, block, [0.95, 0.5]).select(*block, F.greatest("q0", 2.5 * F.col("q1")).alias("most")), "limits")
     return edges.join(q, block).where("distance <= most").drop("most")
 
 

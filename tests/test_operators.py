@@ -125,6 +125,21 @@ def test_nearest_makes_no_pairs_of_whole_blocks(spark):
     assert rows.agg(F.max("_reach")).first()[0] < 5
 
 
+def test_quantiles_are_exact_without_all_distances_in_memory(spark, duck, monkeypatch):
+    monkeypatch.delattr(graph.F, "percentile")
+    monkeypatch.delattr(graph.F, "median")
+    rng, inf = np.random.default_rng(1), np.inf
+    blocks = [rng.random(900), rng.normal(size=700) ** 2, np.repeat([0.1, 0.3], [90, 37]), np.zeros(50), [0.7], rng.random(2), [0.2, 0.4, inf, 0.0], [0.3] * 7 + [inf] * 9, 0.5 + rng.random(500) * 1e-7]
+    rows = [(t, i, i + 1, float(d) if i % 101 else None) for t, b in enumerate(blocks) for i, d in enumerate(b)]
+    df = spark.createDataFrame(rows, "t int, id1 int, id2 int, distance double")
+    given = df.toArrow()  # noqa: F841
+    duck.sql("CREATE OR REPLACE TEMP TABLE lengths AS SELECT * FROM given")
+    limits = "SELECT t, quantile_cont(distance, 0.95) AS a, median(distance) AS b FROM lengths GROUP BY t HAVING count(distance) > 0"
+    assert sorted(map(tuple, graph.quantiles(df, ["t"], [0.95, 0.5]).collect())) == sorted(duck.sql(limits).fetchall())
+    want = duck.sql(f"SELECT t, id1, id2 FROM lengths JOIN ({limits}) USING (t) WHERE distance <= greatest(a, 2.5 * b)").fetchall()
+    assert sorted((r.t, r.id1, r.id2) for r in graph.within_length(df, ["t"]).collect()) == sorted(want)
+
+
 def test_classes_made_of_pairs(spark):
     ids = spark.createDataFrame([("t", 1, -1), ("t", 2, -1), ("t", 9, 0), ("t", 8, 1)], "tracer string, pid long, randiter int")
     pairs = spark.createDataFrame([("t", 0, 1, 9), ("t", 0, 1, 2)], "tracer string, randiter int, id1 long, id2 long")
